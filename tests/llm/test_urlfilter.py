@@ -1,0 +1,44 @@
+import re
+
+import pytest
+
+from quillspark.llm.urlfilter import HOST_RULES, PATTERN_RULES, judge_urls, regex_of, tokens_of
+
+URLS = [
+    None, "", "no scheme", "http://", "https://EXAMPLE.com/en/7?x", "http://a.b.example.com/en/8", "http://example.net/de/8", "http://x.net/de/8/a#f",
+    "http://notcom/en/", "http://es.example.org/es/", "http://cheap-pills.example.info/a", "http://m.cheap-pills.example.info?q", "http://notcheap-pills.info/",
+    "http://ads-track.io/x/privacy", "http://ads-track.io/x/privacy2", "ftp://h/wp-login.php", "ftp://h/xwp-login.php", "http://h/?sessionid=3", "http://h/?asessionid=3",
+    "http://h/phishing/a/b.exe", "http://h/phishing/a.exe?x", "http://a://b/c", "http://h/\n/phishing/\n.exe", "HTTP://CASINO-9.org/", "http://h/🎈?#",
+]
+
+
+def brute(url):
+    at = (url or "").find("://")
+    rest = (url or "")[at + 3 :] if at >= 0 else ""
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = re.sub("[A-Z]+", lambda m: m[0].lower(), host)
+    fit = [r for r in HOST_RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    best = max(fit, key=lambda r: len(r.host + r.path), default=None)
+    low = re.sub("[A-Z]+", lambda m: m[0].lower(), url or "")
+    hit = [p for p in PATTERN_RULES if re.search(regex_of(p).replace(r"\z", r"\Z"), low)]
+    first = min(hit, key=lambda p: (not p.startswith("@@"), p), default=None)
+    verdict = best.verdict if best else "block" if first and not first.startswith("@@") else "allow"
+    return host, path, best and best.host + best.path, verdict, first
+
+
+@pytest.mark.parametrize("inline", [200, 0])
+def test_against_every_rule(spark, inline):
+    rows = [(i, u, "clash", "x") for i, u in enumerate(URLS + URLS[5:8])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, verdict string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict, r.pattern) for r in judge_urls(pages, inline=inline).collect()}
+    assert got == {i: brute(u) for i, u, _, _ in rows}
+    assert judge_urls(pages.limit(0), inline=inline).collect() == []
+
+
+def test_tokens_stand_in_every_match():
+    assert tokens_of("||cheap-pills.") == ["cheap", "pills"]
+    assert tokens_of("/phishing/*.exe|") == ["exe", "phishing"]
+    assert tokens_of("abc") == []
+    assert tokens_of("*track*") == []
+    assert tokens_of("@@||ads-track.*/privacy^") == ["ads", "privacy", "track"]
