@@ -3,10 +3,28 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import tokenfile
+from quillspark.llm import bpe, langid, packing, quality, tokenfile, urlfilter
 from quillspark.llm.common import scratch_path, table
 
 WORD_BPE = "word_bpe_49k.json"
+BYTE_BPE = "byte_bpe_50k.tiktoken"
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), end_id=1)
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,9 +34,14 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_files(manifest, docs.schema["doc_id"].dataType)
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict", "pattern")
+
+
 def queries() -> dict:
-    return {"op9_token_files": op9_token_files}
+    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_language": op3_language, "op6_packing": op6_packing, "op9_token_files": op9_token_files, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality": quality.oracle(), "op10_url_filter": urlfilter.oracle()}
