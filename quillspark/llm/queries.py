@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, langid, packing, quality, tokenfile, urlfilter
+from quillspark.llm import bpe, langid, packing, quality, simhash, tokenfile, urlfilter
 from quillspark.llm.common import scratch_path, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -23,6 +23,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), end_id=1)
 
@@ -40,7 +44,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_language": op3_language, "op6_packing": op6_packing, "op9_token_files": op9_token_files, "op10_url_filter": op10_url_filter}
+    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_language": op3_language, "op4_simhash": op4_simhash, "op6_packing": op6_packing, "op9_token_files": op9_token_files, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
