@@ -1,8 +1,45 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality rules, language, near-duplicates, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; run() writes each stage's result as
+Parquet to the shared folder and gives it to the next. Every operator in it handles null, empty and repeated rows as its
+module says.
+"""
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from quillspark.llm import langid, packing, quality, simhash
+from quillspark.llm.common import materialize, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose posterior probability of being good is at least one half."""
+    return quality.keep_good(docs)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the labelled languages; the network learns from what this stage is given."""
+    return langid.keep_known(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.keep_one(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all pieces in training sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+STAGES = [("quality rules", quality_rules), ("language ID", language), ("SimHash near-dedup", near_dedup), ("best-fit packing", pack)]
+
+#: No SQL: a trained network and a tokenizer have none. tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -27,7 +27,7 @@ RULES = (
     ("length", "n_words < 20", "n_words >= 50"),
     ("symbols", "10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
     ("repeats", "100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 10 * n_words"),
-    ("lines", "n_lines >= 2 AND 10 * n_dup_lines > 3 * n_lines", "n_lines >= 2 AND n_dup_lines = 0"),
+    ("lines", "n_lines >= 2 AND 2 * n_dup_lines > n_lines", "n_lines >= 2 AND n_dup_lines = 0"),
     ("word_length", "word_chars < 2 * n_words OR word_chars > 12 * n_words", "word_chars >= 3 * n_words AND word_chars <= 10 * n_words"),
     ("capitals", "n_upper > n_lower", "4 * n_upper <= n_lower"),
     ("marks", "5 * n_marks > n_words", "20 * n_marks <= n_words"),

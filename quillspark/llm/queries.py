@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, langid, packing, quality, simhash, tokenfile, urlfilter
+from quillspark.llm import bpe, langid, packing, quality, sharding, simhash, spotsigs, tokenfile, urlfilter, warc
 from quillspark.llm.common import scratch_path, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -27,10 +27,29 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def shards_64k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a limit that splits even the smallest tables."""
+    return sharding.assign(table(spark, sf_dir, "documents"), 64 << 10)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), end_id=1)
 
 
+def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.chained(table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    directory = warc.write_archives(pages, scratch_path(spark, "archives"))
+    return warc.read_archives(directory, pages.schema["page_id"].dataType)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = scratch_path(spark, "token-files")
@@ -44,8 +63,25 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_language": op3_language, "op4_simhash": op4_simhash, "op6_packing": op6_packing, "op9_token_files": op9_token_files, "op10_url_filter": op10_url_filter}
+    return {
+        "op1_bpe": op1_bpe,
+        "op2_quality": op2_quality,
+        "op3_language": op3_language,
+        "op4_simhash": op4_simhash,
+        "op5_sharding": op5_sharding,
+        "op6_packing": op6_packing,
+        "op7_spotsigs": op7_spotsigs,
+        "op8_warc": op8_warc,
+        "op9_token_files": op9_token_files,
+        "op10_url_filter": op10_url_filter,
+        "shards_64k": shards_64k,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": quality.oracle(), "op10_url_filter": urlfilter.oracle()}
+    return {
+        "op2_quality": quality.oracle(),
+        "op5_sharding": sharding.oracle(),
+        "op10_url_filter": urlfilter.oracle(),
+        "shards_64k": sharding.oracle(64 << 10),
+    }
