@@ -9,11 +9,14 @@ import pyarrow.compute  # noqa: F401
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.session import ship
+
 #: Texts are handed to Python code in slices of about this many characters, which bounds the Python objects alive at once.
 SLICE_CHARS = 8_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
