@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from quillspark.operators.sampling import shuffled_cap
 from quillspark.operators.spans import keep_first, spans
 from quillspark.operators.validity import decoded
+from quillspark.schemas import FIM_RECORD
 from quillspark.session import ship
-from quillspark.sources.readers import scan_sources
+from quillspark.sources.readers import read_files, scan_sources
 from quillspark.sources.writers import write_jsonl
 
 
@@ -21,14 +22,22 @@ def corpus(files: DataFrame, samples: int = 5, seed: int = 42) -> tuple[DataFram
 
 
 def build_dataset(spark: SparkSession, source_dirs: list[str], output_path: str, max_files: int = 5000, samples_per_file: int = 5, seed: int = 42) -> dict:
-    """Write the corpus as JSON lines and return its counters. The cap comes before validation, so invalid files use it up; the counters are taken while writing."""
+    """Write the corpus as JSON lines and return its counters.
+
+    The cap is taken on paths, before any content is read, and before validation, so invalid files use it up. The
+    other counters are taken while writing; a file that is listed but cannot be read counts as unreadable.
+    """
     ship(spark)
-    listed = shuffled_cap(scan_sources(spark, source_dirs), "path", max_files, seed)
-    rows, of_files, of_records = corpus(listed, samples_per_file, seed)
+    listed = shuffled_cap(scan_sources(spark, source_dirs).select("path"), "path", max_files, seed)
+    paths = [r["path"] for r in listed.collect()]  # at most max_files
+    if not paths:  # an empty plan would be optimised away, and its observations with it
+        write_jsonl(spark.createDataFrame([], FIM_RECORD), output_path)
+        return dict.fromkeys(("files", "unreadable", "invalid", "processed", "raw", "kept"), 0)
+    rows, of_files, of_records = corpus(read_files(spark, paths), samples_per_file, seed)
     after = Observation("kept")
     write_jsonl(rows.select("prefix", "suffix", "middle", "text").observe(after, F.count(F.lit(1)).alias("kept")), output_path)
     files, records = of_files.get, of_records.get
-    return {"files": files["read"], "invalid": files["invalid"], "processed": files["read"] - files["invalid"], "raw": records["raw"], "kept": after.get["kept"]}
+    return {"files": len(paths), "unreadable": len(paths) - files["read"], "invalid": files["invalid"], "processed": files["read"] - files["invalid"], "raw": records["raw"], "kept": after.get["kept"]}
 
 
 def files_by_directory(files: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Scans."""
 
+import re
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,20 @@ def scan_sources(spark: SparkSession, dirs: list[str], pattern: str = "*.py") ->
     return reduce(DataFrame.unionByName, map(one, dirs))
 
 
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, content of the given files, as often as each is listed; files that cannot be read are left out. The list is a capped one."""
+    times = Counter(paths)
+    if not times:
+        return spark.createDataFrame([], "path string, content binary")
+    escaped = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in sorted(times)]
+    read = spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(escaped).select("path", "content")
+    again = {p: n for p, n in times.items() if n > 1}
+    if not again:
+        return read
+    more = spark.createDataFrame([(p, n) for p, n in again.items()], "path string, n int")
+    return read.join(more, "path", "left").select("path", "content", F.explode(F.sequence(F.lit(1), F.coalesce("n", F.lit(1))))).drop("col")
+
+
 def scan_jsonl(spark: SparkSession, path: str, schema: T.StructType = FIM_RECORD, allow_empty: bool = True) -> DataFrame:
     """JSON lines; blank lines are skipped, a malformed one raises, and so does an empty file unless it is allowed."""
     rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)

@@ -56,6 +56,7 @@ def tree(tmp_path):
         (src / f"dup_{i}.py").write_text(source(30))
     (src / "valid.py").write_text(source(12) + "\n# é\n")
     (src / "invalid.py").write_text("def foo(:\n" * 12)
+    (src / "odd [name] {x}.py").write_text(source(3))
     (src / "other.txt").write_text(source(30))
     return tmp_path
 
@@ -63,15 +64,17 @@ def tree(tmp_path):
 def test_build(spark, tree):
     out = str(tree / "out.jsonl")
     counters = dataset.build_dataset(spark, [str(tree / "src")], out, samples_per_file=2, seed=0)
-    assert counters == {"files": 5, "invalid": 1, "processed": 4, "raw": counters["raw"], "kept": counters["kept"]}
+    assert counters == {"files": 6, "unreadable": 0, "invalid": 1, "processed": 5, "raw": counters["raw"], "kept": counters["kept"]}
     records = [json.loads(line) for p in sorted((tree / "out.jsonl").glob("part-*")) for line in p.read_text().splitlines()]
     assert len(records) == counters["kept"] == len({r["text"] for r in records}) and all(list(r) == ["prefix", "suffix", "middle", "text"] for r in records)
     capped = dataset.build_dataset(spark, [str(tree / "src")], out, max_files=2)
     assert capped["files"] == 2
-    assert main(["--source-dirs", str(tree / "src"), str(tree / "src"), "--output", out, "--max-files", "100"])["files"] == 10
+    assert main(["--source-dirs", str(tree / "src"), str(tree / "src"), "--output", out, "--max-files", "100"])["processed"] == 10
     assert readers.scan_jsonl(spark, out).count() > 0
+    (tree / "none").mkdir()
+    assert set(dataset.build_dataset(spark, [str(tree / "none")], out).values()) == {0}
     counts = dataset.files_by_directory(readers.scan_sources(spark, [str(tree / "src"), str(tree)])).collect()
-    assert sorted(r.n_files for r in counts) == [5, 5]
+    assert sorted(r.n_files for r in counts) == [6, 6]
     assert dataset.directory_bytes(spark, str(tree / "src")) == sum(p.stat().st_size for p in (tree / "src").rglob("*") if p.is_file())
 
 
