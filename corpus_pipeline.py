@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import langid, packing, quality, simhash
-from quillspark.llm.common import materialize, table
+from quillspark.llm.common import discard, materialize, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,5 +41,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        last, docs = docs, materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(last)
     return STAGES[-1][1](spark, docs, sf_dir)

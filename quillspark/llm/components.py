@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize
+from quillspark.llm.common import discard, materialize
 
 
 def _centre(edges: DataFrame, of: str) -> DataFrame:
@@ -28,7 +28,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         down = large.where("u <> v").distinct()
         small = _centre(down, "small")
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = materialize(small.where("u <> v").distinct(), "links")
+        last, edges = edges, materialize(small.where("u <> v").distinct(), "links")
+        discard(last)
         seen = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

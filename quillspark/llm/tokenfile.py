@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, open_fs, shuffle_width, slices
+from quillspark.llm.common import discard, materialize, open_fs, shuffle_width, slices
 from quillspark.llm.words import encoder
 
 #: Fixed values of the seekable zstandard format.
@@ -161,6 +161,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
 
     ordered = tokens.repartitionByRange(parts, "k").sortWithinPartitions("k", "ids")
     written = materialize(ordered.mapInArrow(write, "part long, path string, n_docs long, n_tokens long"), "manifest")
+    discard(tokens)
     rows = sorted(written.collect())  # one row a file
     before, manifest = 0, []
     for r in rows:
