@@ -21,8 +21,8 @@ def is_blank(c: Column) -> Column:
 
 def split_lines(c: Column) -> Column:
     """Lines without their ends; no empty line after a final line end, none for an empty text."""
-    parts = F.split(c, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    whole = lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p)
+    return F.transform(F.array(F.split(c, LINE_END, -1)), whole)[0]  # bound to a name, so that it splits once
 
 
 def join_lines(lines: Column) -> Column:

@@ -13,15 +13,16 @@ from quillspark.functions.text import fim_text, has_sentinel, is_blank, join_lin
 MIN_LINES = 10
 
 
-def spans(sources: DataFrame, key: str, text: str, samples: int = 5, seed: int = 42, shortest: int = 1, longest: int = 15) -> DataFrame:
+def spans(sources: DataFrame, key: str, text: str, samples: int = 5, seed: int = 42, shortest: int = 1, longest: int = 15, carry: tuple[str, ...] = ()) -> DataFrame:
     """file_id, attempt, start, span_len, n_lines, prefix, suffix, middle, text, has_sentinel.
 
     Texts under ten lines give nothing. An attempt whose middle is blank is used up. Boundary line ends belong to
-    neither side, and a span leaves at least one line before and after it. Null texts give nothing.
+    neither side, and a span leaves at least one line before and after it. Null texts give nothing. `carry` names
+    further columns of the source to keep, which spares a join later.
     """
     if not 1 <= shortest <= min(longest, MIN_LINES - 2) or samples < 1:
         raise ValueError("spans need 1 <= shortest <= longest, shortest <= 8 and at least one sample")
-    base = sources.select(F.col(key).alias("file_id"), split_lines(F.col(text).cast("string")).alias("lines")).withColumn("n_lines", F.size("lines")).where(F.col("n_lines") >= MIN_LINES)
+    base = sources.select(F.col(key).alias("file_id"), *carry, split_lines(F.col(text).cast("string")).alias("lines")).withColumn("n_lines", F.size("lines"))
 
     def attempt(i):
         size = uniform_int(seed, F.col("file_id"), i, "len", F.lit(shortest), F.least(F.lit(longest), F.col("n_lines") - 2))
@@ -33,11 +34,13 @@ def spans(sources: DataFrame, key: str, text: str, samples: int = 5, seed: int =
 
     tries = F.transform(F.transform(F.sequence(F.lit(0), F.lit(3 * samples - 1)), attempt), placed)
     filled = lambda a: F.exists(F.slice(F.col("lines"), a["start"] + 1, a["span_len"]), lambda line: ~is_blank(line))
-    drawn = base.withColumn("a", F.explode(F.slice(F.filter(tries, filled), 1, samples))).select("file_id", "n_lines", "lines", "a.*")
+    kept = F.when(F.col("n_lines") >= MIN_LINES, F.slice(F.filter(tries, filled), 1, samples))
+    # An outer explode: from a plain one the optimizer infers a filter that would draw everything twice.
+    drawn = base.withColumn("a", F.explode_outer(kept)).where(F.col("a").isNotNull()).select("file_id", *carry, "n_lines", "lines", "a.*")
     end = F.col("start") + F.col("span_len")
     cut = drawn.withColumns({"prefix": join_lines(F.slice("lines", 1, F.col("start"))), "middle": join_lines(F.slice("lines", F.col("start") + 1, F.col("span_len"))), "suffix": join_lines(F.slice("lines", end + 1, F.col("n_lines") - end))})
     whole = cut.withColumn("text", fim_text(F.col("prefix"), F.col("suffix"), F.col("middle")))
-    return whole.withColumn("has_sentinel", has_sentinel(F.concat("prefix", "suffix", "middle"))).select("file_id", "attempt", "start", "span_len", "n_lines", "prefix", "suffix", "middle", "text", "has_sentinel")
+    return whole.withColumn("has_sentinel", has_sentinel(F.concat("prefix", "suffix", "middle"))).select("file_id", *carry, "attempt", "start", "span_len", "n_lines", "prefix", "suffix", "middle", "text", "has_sentinel")
 
 
 def keep_first(rows: DataFrame, text: str, *order: str) -> DataFrame:

@@ -35,8 +35,8 @@ def _spans(t) -> DataFrame:
 @query(oracles.FLAGSHIP)
 def fim_flagship(t, spark):
     """Distinct infill records by language."""
-    kept = spans.keep_first(_spans(t), "text", "file_id", "attempt").select("file_id", "span_len")
-    by = kept.join(t("documents").select("doc_id", "lang"), kept["file_id"] == F.col("doc_id")).groupBy("lang")
+    made = spans.spans(t("documents").select("doc_id", "lang", "text"), "doc_id", "text", carry=("lang",))
+    by = spans.keep_first(made, "text", "file_id", "attempt").groupBy("lang")
     return by.agg(F.count(F.lit(1)).alias("n_records"), F.sum("span_len").cast("long").alias("n_lines"))
 
 
