@@ -20,6 +20,8 @@ STEPS, BATCH, RATE, SEED = 200, 128, 0.02, 7
 #: Stretches that are read side by side.
 SIDE = 4096
 UNKNOWN = "und"
+#: Mean probability below which no language is taken as known; a text half in another language stays above it.
+LEAST = 0.4
 
 
 class Network:
@@ -252,7 +254,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return got.select("doc_id", "held_out", F.col("_l.lang").alias("lang_pred"), "_l.score")
 
 
-def keep_known(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def keep_known(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents whose language is known with a probability of at least `least`, with their columns. Without labelled text all with a letter stay."""
     net = fit(docs, id_col, text_col, lang_col)
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), predict(net, F.col(text_col)).alias("l"))

@@ -24,7 +24,7 @@ def brute(docs, net, model):
         odds = start + sum(weights[i][0 if sql(bad) else 2 if sql(good) else 1] for i, (_, bad, good) in enumerate(quality.RULES))
         if odds >= 0:
             kept.append(r)
-    kept = [r for r in kept if langid.has_letter(r.text) and net.pooled([r.text.encode()])[0].max() >= 0.5]
+    kept = [r for r in kept if langid.has_letter(r.text) and net.pooled([r.text.encode()])[0].max() >= langid.LEAST]
     prints = [fingerprint_of(r.text) for r in kept]
     group = list(range(len(kept)))
     for i in range(len(kept)):
