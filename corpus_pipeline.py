@@ -10,25 +10,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import langid, packing, quality, simhash
 from quillspark.llm.common import discard, materialize, table
+from quillspark.session import ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior probability of being good is at least one half."""
+    ship(spark)
     return quality.keep_good(docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the labelled languages; the network learns from what this stage is given."""
+    ship(spark)
     return langid.keep_known(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    ship(spark)
     return simhash.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all pieces in training sequences."""
+    ship(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
