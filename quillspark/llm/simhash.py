@@ -4,8 +4,9 @@ Fingerprints that differ in few bits agree on some of the blocks that 64 bits ar
 fingerprint is filed under its blocks. Within a file, a table of Hamming distances to many reference fingerprints
 (pivots) is computed once; by the triangle inequality a pair whose distances to any pivot differ by more than the limit
 cannot link, and only the pairs that no pivot discards are verified bit by bit. Of the links of a file those of a
-spanning forest are kept, so that dense groups of copies never become all pairs. Files of more than FILE fingerprints
-are dealt out in pairs of parts, which are searched separately.
+spanning forest are kept, so that dense groups of copies never become all pairs. A file of more than FILE fingerprints
+is filed again by quarters of the bits that its members do not share: near ones agree on one quarter, and as a file
+with b bits left holds at most 2**b distinct fingerprints, every file ends up small, however dense its group.
 """
 
 from itertools import combinations
@@ -73,6 +74,13 @@ def masks(distinct: int, near: int = NEAR, crowd: int = 64) -> list[int]:
     return [sum(c) for c in combinations(parts, blocks - near)]
 
 
+def quarters(mask: int, near: int = NEAR) -> list[int]:
+    """Parts of the bits outside the mask, one more than the bits in which near fingerprints differ."""
+    free = [b for b in range(BITS) if not mask >> b & 1]
+    edges = [round(i * len(free) / (near + 1)) for i in range(near + 2)]
+    return [sum(1 << b for b in free[x:y]) for x, y in zip(edges, edges[1:], strict=False)]
+
+
 def signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
@@ -122,13 +130,22 @@ def links_within(group: np.ndarray, fp: np.ndarray, near: int = NEAR) -> tuple[n
 
 def links(prints: DataFrame, distinct: int, near: int = NEAR, file: int = FILE) -> DataFrame:
     """Links (a, b) that span all pairs of the distinct values fp within near bits."""
-    filed = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(masks(distinct, near))])).alias("k")).select("fp", "k.*")
-    sizes = filed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    parts = filed.join(sizes, ["t", "key"]).withColumn("parts", F.ceil(F.col("n") / file).cast("int"))
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    dealt = parts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = dealt.select("t", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
-    keys = ["t", "key", "lo", "hi"]
+    if file < 1 << near + 1:
+        raise ValueError(f"a file has to hold at least {1 << near + 1} fingerprints")
+    level, depth, cells = masks(distinct, near), 0, None
+    filed = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(len(level) - 1))).alias("t"))
+    while True:
+        keyed = filed.withColumn("key", F.col("fp").bitwiseAND(F.element_at(F.array(*[F.lit(signed(m)) for m in level]), F.col("t") + 1)))
+        sizes = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        small = keyed.join(sizes.where(F.col("n") <= file), ["t", "key"], "left_semi").select(F.lit(depth).alias("depth"), "t", "key", "fp")
+        cells = small if cells is None else cells.unionByName(small)
+        large = materialize(sizes.where(F.col("n") > file).select("t", "key"), "large")
+        if large.isEmpty():
+            break
+        again = materialize(keyed.join(large, ["t", "key"], "left_semi").select("fp", "t"), "refiled")
+        filed = again.select("fp", F.explode(F.sequence(F.col("t") * (near + 1), F.col("t") * (near + 1) + near)).alias("t"))
+        level, depth = [m | q for m in level for q in quarters(m, near)], depth + 1
+    keys = ["depth", "t", "key"]
     ordered = cells.repartition(shuffle_width(prints.sparkSession), *keys).sortWithinPartitions(*keys)
 
     def search(batches):
@@ -137,7 +154,7 @@ def links(prints: DataFrame, distinct: int, near: int = NEAR, file: int = FILE)
             columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             held = columns if held is None else [np.concatenate(c) for c in zip(held, columns, strict=True)]
             same = np.ones(len(held[0]), bool)
-            for c in held[:4]:
+            for c in held[:3]:
                 same &= c == c[-1:]
             cut = int(np.flatnonzero(~same)[-1]) + 1 if len(same) and not same.all() else 0
             if cut:  # the last group may go on in the next batch
@@ -148,10 +165,10 @@ def links(prints: DataFrame, distinct: int, near: int = NEAR, file: int = FILE)
 
     def found(columns):
         new = np.zeros(len(columns[0]), bool)
-        for c in columns[:4]:
+        for c in columns[:3]:
             new[1:] |= c[1:] != c[:-1]
-        i, j = links_within(np.cumsum(new), columns[4].astype(np.int64).view(np.uint64), near)
-        return pa.RecordBatch.from_arrays([pa.array(columns[4][i], pa.int64()), pa.array(columns[4][j], pa.int64())], ["a", "b"])
+        i, j = links_within(np.cumsum(new), columns[3].astype(np.int64).view(np.uint64), near)
+        return pa.RecordBatch.from_arrays([pa.array(columns[3][i], pa.int64()), pa.array(columns[3][j], pa.int64())], ["a", "b"])
 
     return ordered.mapInArrow(search, "a long, b long")
 

@@ -83,7 +83,7 @@ def test_links_within_span_every_group():
             assert [own.index(root[k]) for k in own] == want
 
 
-@pytest.mark.parametrize(("distinct", "file"), [(500, 2048), (500, 20), (10**9, 2048)])
+@pytest.mark.parametrize(("distinct", "file"), [(500, 2048), (500, 16), (10**9, 2048), (10**9, 16)])
 def test_components_against_all_pairs(spark, distinct, file):
     fp = sorted(signed(x) for x in cloud(random.Random(4), 500))
     want = classes([x % (1 << 64) for x in fp])
@@ -92,6 +92,17 @@ def test_components_against_all_pairs(spark, distinct, file):
     assert [root.get(x, x) for x in fp] == [fp[k] for k in want]
 
 
+def test_quarters_leave_no_near_pair_out():
+    rng = random.Random(6)
+    for _ in range(500):
+        mask = rng.getrandbits(64) | rng.getrandbits(64)
+        qs = simhash.quarters(mask)
+        assert sum(qs) == ~mask & (1 << 64) - 1 and len(qs) == 4
+        free = [b for b in range(64) if not mask >> b & 1]
+        change = sum(1 << b for b in rng.sample(free, min(3, len(free))))
+        assert any(not change & q for q in qs)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 200)] + [(500, i) for i in range(501, 560)] + [(7, 7), (9, 8), (8, 9)]
     root = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
