@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import materialize, open_fs, shuffle_width, slices
+from quillspark.llm.common import discard, materialize, open_fs, shuffle_width, slices
 from quillspark.llm.urlfilter import lowered
 
 ENTRIES = 512
@@ -109,18 +109,22 @@ def write_archives(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_
     """
     spark = pages.sparkSession
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    full = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha1(payload.cast("binary")).alias("sha"))
-    own = materialize(full.select("id", "sha", F.octet_length("payload").alias("n")), "digests").where(F.col("n") >= least)
+    full = pages.select(url_key(F.col(url_col).cast("string")).alias("key"), F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha1(payload.cast("binary")).alias("sha"))
+    digests = materialize(full.select("key", "id", "sha", F.octet_length("payload").alias("n")), "digests")
+    own = digests.where(F.col("n") >= least)
     top = own.groupBy("sha", "n").agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("c")).where("c > 1 AND top IS NOT NULL").select(F.col("sha").alias("s"), F.col("n").alias("m"), "top")
-    revisits = own.join(top, (own["sha"] == top["s"]) & (own["n"] == top["m"])).where(~F.col("id").eqNullSafe(F.col("top"))).select(F.col("id").alias("i"), F.col("s"), F.col("top").cast("string").alias("top")).distinct()
-    joined = full.join(revisits, full["id"].eqNullSafe(revisits["i"]) & (full["sha"] == revisits["s"]), "left")
-    rows = joined.select(url_key(F.col("url")).alias("key"), "id", "url", "payload", "top")
+    revisits = own.join(top, (own["sha"] == top["s"]) & (own["n"] == top["m"])).where(~F.col("id").eqNullSafe(F.col("top")))
+    # A marker of each revisit travels with the pages and is sorted before its page, so no page travels for a join.
+    none = F.lit(None).cast("string")
+    markers = revisits.select("key", "id", F.lit(0).alias("kind"), "sha", F.col("top").cast("string").alias("top"), none.alias("url"), none.alias("payload")).distinct()
+    rows = markers.unionByName(full.select("key", "id", F.lit(1).alias("kind"), "sha", none.alias("top"), "url", "payload"))
     width = max(shuffle_width(spark), pages.rdd.getNumPartitions())
-    ordered = rows.repartitionByRange(width, "key", "id").sortWithinPartitions("key", "id").select("key", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "url", "payload", "top")
+    ordered = rows.repartitionByRange(width, "key", "id").sortWithinPartitions("key", "id", "kind").select("key", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "url", "payload", "top", "kind", "sha")
 
     def write(batches):
         part, fs = TaskContext.get().partitionId(), None
         lines, first, at, index_at, block, out = [], None, 0, 0, 0, []
+        of, marked = None, {}  # the revisits of one key and id, by digest
 
         def flush():
             nonlocal lines, first, index_at, block
@@ -138,10 +142,15 @@ def write_archives(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_
                 name = f"part-{part:06d}-{uuid.uuid4().hex[:12]}"
                 archive_path, index_path = f"{out_dir}/{name}.warc.gz", f"{out_dir}/{name}.cdx.z"
                 archive, index = (fs.open_output_stream(f"{where}/{name}{ext}", compression=None) for ext in (".warc.gz", ".cdx.z"))
-            keys, ids, urls, tops = (batch.column(i).to_pylist() for i in (0, 1, 2, 4))
+            keys, ids, urls, tops, kinds, shas = (batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5, 6))
             for start, payloads in slices(batch.column(3)):
                 for i, text in enumerate(payloads, start):
-                    member = record(ids[i], urls[i], text.encode(), tops[i])
+                    if (keys[i], ids[i]) != of:
+                        of, marked = (keys[i], ids[i]), {}
+                    if not kinds[i]:
+                        marked[shas[i]] = tops[i]
+                        continue
+                    member = record(ids[i], urls[i], text.encode(), marked.get(shas[i]))
                     archive.write(member)
                     first = first or (keys[i], at)
                     lines.append(f"{at} {len(member)} {ids[i] or '-'} {keys[i]!r}")
@@ -164,7 +173,9 @@ def write_archives(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_
         for b in write(batches):
             yield pa.RecordBatch.from_pylist(b.to_pylist(), arrow)
 
-    return materialize(ordered.mapInArrow(typed, schema), "directory")
+    directory = materialize(ordered.mapInArrow(typed, schema), "directory")
+    discard(digests)
+    return directory
 
 
 def read_range(uri: str, at: int, size: int) -> bytes:
