@@ -11,7 +11,6 @@ import base64
 import functools
 import heapq
 import re
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +23,11 @@ from quillspark.llm.common import slices
 #: White space of the splitting pattern, but for the space and the line feed.
 ODD_SPACE = re.compile("[\t\r\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
+#: Ranks with fewer places than this are merged one by one, the others as arrays.
+FEW = 32
+#: Bytes of text whose words make one corpus.
+RUN = 4_000_000
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -34,96 +38,150 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {r: t for t, r in ranks.items()}
-        self.byte = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}
-
-    def _rank(self, a: int, b: int) -> int:
-        pair = (a, b)
-        r = self.pairs.get(pair)
-        if r is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            r = self.pairs[pair] = self.ranks.get(self.token[a] + self.token[b], -1)
-        return r
-
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word; a word that is a token as a whole is that token."""
-        out: list = [None] * len(words)
-        symbol: list[int] = []
-        follow: list[int] = []
-        before: list[int] = []
-        word: list[int] = []
-        firsts: list[tuple[int, int]] = []
-        index: dict[int, list[int]] = {}
-        byte, pair_rank = self.byte, self._rank
-        for w, text in enumerate(words):
-            whole = self.ranks.get(text)
-            if whole is not None or not text:
-                out[w] = [] if whole is None else [whole]
-                continue
-            first, n = len(symbol), len(text)
-            firsts.append((w, first))
-            symbol.extend([byte[b] for b in text])
-            follow.extend(range(first + 1, first + n))
-            follow.append(-1)
-            before.append(-1)
-            before.extend(range(first, first + n - 1))
-            word.extend([w] * n)
-            for p in range(first, first + n - 1):
-                r = pair_rank(symbol[p], symbol[p + 1])
-                if r >= 0:
-                    index.setdefault(r, []).append(p)
-        heap = list(index)
-        heapq.heapify(heap)
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.shift = max(1, max(self.token).bit_length())
+        pairs = {}
+        for whole, r in ranks.items():
+            for i in range(1, len(whole)):
+                a, b = ranks.get(whole[:i]), ranks.get(whole[i:])
+                if a is not None and b is not None:
+                    pairs[a << self.shift | b] = r
+        #: Every pair that merges, sorted, with its rank; the last entry is for none.
+        self.pairs = np.array([*sorted(pairs), 1 << 2 * self.shift], np.int64)
+        self.merged = np.array([*(pairs[k] for k in sorted(pairs)), -1], np.int32)
+        self.pair_rank = pairs
+        #: Tokens whose merge can make a pair of lower rank.
+        self.lowers = np.zeros(max(self.token) + 1, bool)
+        left, right = self.pairs[:-1] >> self.shift, self.pairs[:-1] & (1 << self.shift) - 1
+        self.lowers[left[self.merged[:-1] < left]] = True
+        self.lowers[right[self.merged[:-1] < right]] = True
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = (a.astype(np.int64) << self.shift) | b
+        at = np.searchsorted(self.pairs, keys)
+        return np.where(self.pairs[at] == keys, self.merged[at], -1)
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word as unsigned 32-bit integers; a word that is a token as a whole is that token."""
+        out = [np.array([r], "<u4").tobytes() if (r := self.ranks.get(w)) is not None else b"" for w in words]
+        open_ = [i for i, ids in enumerate(out) if not ids and words[i]]
+        if not open_:
+            return out
+        sizes = np.array([len(words[i]) for i in open_], np.int64)
+        symbol = self.byte[np.frombuffer(b"".join([words[i] for i in open_]), np.uint8)]
+        n = len(symbol)
+        ends = np.cumsum(sizes)
+        word = np.repeat(np.arange(len(open_), dtype=np.int32), sizes)
+        follow, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        follow[ends - 1] = -1
+        before[ends - sizes] = -1
+        rank_at = np.full(n, -1, np.int32)  # of the pair that begins at a position; stale entries of the index differ from it
+        inner = np.flatnonzero(follow >= 0)
+        rank_at[inner] = self._ranks(symbol[inner], symbol[inner + 1])
+        index: dict[int, list] = {}
+        heap: list[int] = []
+
+        def file(places: np.ndarray, ranks: np.ndarray) -> None:
+            """Enter positions under the ranks of their pairs."""
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            for r, part in zip(ranks[np.concatenate([[0], cuts])].tolist(), np.split(places, cuts), strict=True):
+                if r not in index:
+                    index[r] = []
+                    heapq.heappush(heap, r)
+                index[r].append(part)
+
+        found = np.flatnonzero(rank_at >= 0)
+        if len(found):
+            file(found, rank_at[found])
+        views = tuple(map(memoryview, (symbol, follow, before, rank_at, word)))
         while heap:
             rank = heapq.heappop(heap)
-            places = index.pop(rank, None)
-            if places is None:
+            parts = index.pop(rank)
+            places = np.concatenate(parts) if len(parts) > 1 else parts[0]
+            places = places[rank_at[places] == rank]
+            if not len(places):
                 continue
-            places.sort()
-            waits = -1  # the word whose further positions wait for a lower merge
-            for p in places:
-                left = symbol[p]
-                q = follow[p]
-                if left < 0 or q < 0 or pair_rank(left, symbol[q]) != rank:
-                    continue
-                if word[p] == waits:
-                    if rank not in index:
-                        index[rank] = []
-                        heapq.heappush(heap, rank)
-                    index[rank].append(p)
-                    continue
-                symbol[p] = rank
-                symbol[q] = -1
-                n = follow[p] = follow[q]
-                b = before[p]
-                if n >= 0:
-                    before[n] = p
-                    r = pair_rank(rank, symbol[n])
-                    if r >= 0:
-                        if r not in index:
-                            index[r] = []
-                            heapq.heappush(heap, r)
-                        index[r].append(p)
-                        if r < rank:
-                            waits = word[p]
-                if b >= 0:
-                    r = pair_rank(symbol[b], rank)
-                    if r >= 0:
-                        if r not in index:
-                            index[r] = []
-                            heapq.heappush(heap, r)
-                        index[r].append(b)
-                        if r < rank:
-                            waits = word[p]
-        for w, p in firsts:
-            ids = []
-            while p >= 0:
-                ids.append(symbol[p])
-                p = follow[p]
-            out[w] = ids
+            if len(parts) > 1:
+                places = np.unique(places)
+            if len(places) < FEW:
+                self._one_by_one(rank, places.tolist(), views, index, heap)
+                continue
+            near = np.zeros(len(places), bool)
+            if self.lowers[rank]:  # words with several places go one by one: a lower merge may come between
+                near[1:] = word[places[1:]] == word[places[:-1]]
+                near[:-1] |= near[1:]
+            else:
+                near[1:] = follow[places[:-1]] == places[1:]
+                if near.any():
+                    near = np.isin(word[places], word[places[near]])
+            if near.any():
+                self._one_by_one(rank, places[near].tolist(), views, index, heap)
+                places = places[~near]
+            right = follow[places]
+            beyond = follow[right]
+            symbol[places] = rank
+            symbol[right] = -1
+            rank_at[right] = -1
+            rank_at[places] = -1
+            follow[places] = beyond
+            on = beyond >= 0
+            before[beyond[on]] = places[on]
+            back = before[places]
+            touched = np.concatenate([places[on], back[back >= 0]])
+            if len(touched):
+                new = self._ranks(symbol[touched], symbol[follow[touched]])
+                rank_at[touched] = new
+                some = new >= 0
+                if some.any():
+                    file(touched[some], new[some])
+        alive = symbol >= 0
+        ids = symbol[alive].astype("<u4").tobytes()
+        upto = 4 * np.cumsum(np.bincount(word[alive], minlength=len(open_)))
+        at = 0
+        for i, to in zip(open_, upto.tolist(), strict=True):
+            out[i] = ids[at:to]
+            at = to
         return out
 
+    def _one_by_one(self, rank: int, places: list[int], views: tuple, index: dict, heap: list) -> None:
+        """Merge at the places in order, leftmost first; where a lower pair appears, the rest of that word waits for it."""
+        symbol, follow, before, rank_at, word = views
+        get, shift = self.pair_rank.get, self.shift
+        waits, late = -1, []
+        for p in places:
+            if rank_at[p] != rank:
+                continue
+            if word[p] == waits:
+                late.append(p)
+                continue
+            q = follow[p]
+            n = follow[q]
+            symbol[p] = rank
+            symbol[q] = rank_at[q] = rank_at[p] = -1
+            follow[p] = n
+            if n >= 0:
+                before[n] = p
+            b = before[p]
+            for at, left, right in ((p, rank, symbol[n] if n >= 0 else -1), (b, symbol[b] if b >= 0 else -1, rank)):
+                if left < 0 or right < 0:
+                    continue
+                r = get(left << shift | right, -1)
+                rank_at[at] = r
+                if r >= 0:
+                    if r not in index:
+                        index[r] = []
+                        heapq.heappush(heap, r)
+                    index[r].append(np.array([at]))
+                    if r < rank:
+                        waits = word[p]
+        if late:
+            if rank not in index:
+                index[rank] = []
+                heapq.heappush(heap, rank)
+            index[rank].append(np.array(late))
+
 
 class Codec:
     """Ids of whole texts. Chunks between spaces split alike wherever they stand, so their ids are kept, up to a bound."""
@@ -142,7 +200,7 @@ class Codec:
             self.words = {w: self.words[w] for w in need.difference(missing)}
         fresh = list(missing)
         for w, ids in zip(fresh, self.replay.encode([w.encode() for w in fresh]), strict=True):
-            self.words[w] = array("I", ids).tobytes()
+            self.words[w] = ids
 
     @staticmethod
     def plain(text: str) -> bool:
@@ -200,7 +258,7 @@ def round_trip(text: Column, ranks: str, pattern: str) -> Column:
     def both(column: pa.Array) -> pa.Array:
         c = codec(ranks, pattern)
         ids, plain = [], []
-        for _, texts in slices(column):
+        for _, texts in slices(column, RUN):
             got = c.encode(texts)
             ids += got
             plain += map(c.decode, got)
@@ -215,7 +273,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ou
     @F.arrow_udf("array<int>")
     def ids_of(column: pa.Array) -> pa.Array:
         c = codec(ranks, pattern)
-        got = [np.frombuffer(b, "<i4") for _, texts in slices(column) for b in c.encode(texts)]
+        got = [np.frombuffer(b, "<i4") for _, texts in slices(column, RUN) for b in c.encode(texts)]
         return pa.array(got, pa.list_(pa.int32()))
 
     return docs.withColumn(out, ids_of(F.col(text_col).cast("string")))
