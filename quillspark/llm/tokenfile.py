@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import discard, materialize, open_fs, shuffle_width, slices
+from quillspark.llm.common import materialize, open_fs, shuffle_width, slices
 from quillspark.llm.words import encoder
 
 #: Fixed values of the seekable zstandard format.
@@ -115,53 +115,39 @@ class TokenFileReader:
 def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Encode every text and write the ids in ascending id order; returns the manifest: part, path, n_docs, n_tokens, base.
 
-    The tokens are made once and kept in the shared folder, so that the range boundaries come from a scan of ids
-    alone. A task streams its sorted range into one file; a repeated task writes a file of its own and only the
-    file named in the manifest counts. Null texts have the end id only; null ids come first; repeated ids stay
-    next to each other, ordered by their token ids; other columns are ignored.
+    Texts are dealt out once, by ranges of ids whose boundaries come from a sample of the ids. A task encodes its
+    sorted range as it streams by and writes one file; a repeated task writes a file of its own and only the file
+    named in the manifest counts. Null texts have the end id only; null ids come first; repeated ids stay next to
+    each other, ordered by their texts; other columns are ignored.
     """
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType
-    narrow = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"))
+    rows = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     tail = [] if end_id is None else [end_id]
+    parts = max(shuffle_width(spark), docs.rdd.getNumPartitions())
+    ordered = rows.repartitionByRange(parts, "k").sortWithinPartitions("k", "t")
 
-    def encode(batches):
-        enc = encoder(tokenizer)
+    def write(batches):
+        enc, files, path = encoder(tokenizer), None, ""
         width = 2 if enc.whole.get_vocab_size() <= 1 << 16 and max(tail, default=0) < 1 << 16 else 4
         end = np.array(tail, f"<u{width}").tobytes()
-        for batch in batches:
-            for first, texts in slices(batch.column(1)):
-                ids = [np.frombuffer(b, "<u4").astype(f"<u{width}").tobytes() + end for b in enc.encode(texts)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(ids)), pa.array(ids, pa.binary()), pa.array([width] * len(ids), pa.int32())], ["k", "ids", "width"])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([T.StructField("k", kind), T.StructField("ids", T.BinaryType()), T.StructField("width", T.IntegerType())])
-    tokens = materialize(narrow.mapInArrow(encode, schema), "tokens")
-    parts = max(shuffle_width(spark), tokens.rdd.getNumPartitions())
-
-    def write(batches):
-        files, path = None, ""
         part = TaskContext.get().partitionId()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if files is None:
+            if batch.num_rows and files is None:
                 fs, where = open_fs(out_dir)
                 fs.create_dir(where, recursive=True)
                 path = f"part-{part:06d}-{uuid.uuid4().hex[:12]}.ids.zst"
                 sink = fs.open_output_stream(f"{where}/{path}", compression=None)
-                files = TokenFileWriter(sink, batch.column(0).type, batch.column(2)[0].as_py(), frame_bytes)
-            for key, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                files.add(key, ids)
+                files = TokenFileWriter(sink, batch.column(0).type, width, frame_bytes)
+            keys = batch.column(0).to_pylist()
+            for first, texts in slices(batch.column(1)):
+                for key, ids in zip(keys[first : first + len(texts)], enc.encode(texts), strict=True):
+                    files.add(key, np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes() + end)
         if files is not None:
             files.close()
             sink.close()
             yield pa.RecordBatch.from_pylist([{"part": part, "path": f"{out_dir}/{path}", "n_docs": len(files.keys), "n_tokens": files.start}])
 
-    ordered = tokens.repartitionByRange(parts, "k").sortWithinPartitions("k", "ids")
     written = materialize(ordered.mapInArrow(write, "part long, path string, n_docs long, n_tokens long"), "manifest")
-    discard(tokens)
     rows = sorted(written.collect())  # one row a file
     before, manifest = 0, []
     for r in rows:
