@@ -8,13 +8,16 @@ are all equal cannot split: its rows fill overflow pages in order, and a row abo
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillspark.llm.common import materialize
+from quillspark.llm.common import materialize, shuffle_width
 
 HASH_BITS = 60
 LIMIT = 64 << 20
+#: Limits of bytes of one repeated id that a running total may go over.
+DEAL = 8
 
 
 def hash_of(key: Column) -> Column:
@@ -41,39 +44,70 @@ def directory(sizes: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
         low, width = high, 10
 
 
-def assign(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, bytes (UTF-8, null: 0), depth, shard (the prefix as bits, then the overflow page if any) of every document.
+def place(rows: DataFrame, sizes: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """rows(h, bytes, ...) with depth and shard; apart, those of equal hashes above the limit, if any. sizes: (h, bytes) of all rows, stored.
 
-    Every shard holds at most `limit` bytes, unless it is a single row. Repeated ids share a hash; other columns are
-    ignored. Texts are measured where they lie and never shuffled.
+    Every row gets its shard by itself, so that repeated ids neither multiply nor need telling apart.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), hash_of(F.col(id_col)).alias("h"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("bytes"))
-    base = materialize(base, "sizes")
-    placed = base.withColumn("depth", F.lit(None).cast("int"))
-    for high, cells in directory(base.select("h", "bytes"), limit):
+    placed = rows.withColumn("depth", F.lit(None).cast("int"))
+    for high, cells in directory(sizes.select("h", "bytes"), limit):
         cells = cells.select(F.col("cell").alias("_cell"), F.col("depth").alias("_depth"))
         placed = placed.join(cells, F.shiftright("h", HASH_BITS - high) == F.col("_cell"), "left").withColumn("depth", F.coalesce("depth", "_depth")).drop("_cell", "_depth")
     prefix = F.when(F.col("depth") == 0, "").otherwise(F.expr(f"right(lpad(bin(shiftright(h, {HASH_BITS} - depth)), {HASH_BITS}, '0'), depth)"))
     placed = placed.withColumn("shard", prefix)
-    # Equal hashes above the limit: few, or one id repeated; a running total deals them out.
-    full = materialize(placed.groupBy("h").agg(F.sum("bytes").alias("all"), F.count(F.lit(1)).alias("n")).where((F.col("all") > limit) & (F.col("n") > 1)).select("h"), "overflow")
+    # Equal hashes above the limit: few, or one id repeated. Their rows are drawn into deals of about DEAL limits; in each a running total deals out pages.
+    full = sizes.groupBy("h").agg(F.sum("bytes").alias("all"), F.count(F.lit(1)).alias("n")).where((F.col("all") > limit) & (F.col("n") > 1))
+    full = materialize(full.select("h", F.ceil(F.col("all") / (DEAL * limit)).alias("_deals")), "overflow")
     if full.isEmpty():
-        return placed.drop("h")
-    plain = placed.join(full, "h", "left_anti").drop("h")
-    order = Window.partitionBy("h").orderBy("bytes").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return placed, None
+    placed = placed.join(full, "h", "left")
+    own = Window.partitionBy("h", "_deal").orderBy("bytes")
     # Smallest first: two pages of half the limit never share one, so a page of running total // half holds at most the limit.
     half = max(1, limit // 2)
-    over = placed.join(full, "h", "left_semi").withColumn("_sum", F.sum("bytes").over(order))
-    page = F.when(F.col("bytes") > half, F.concat(F.lit("r"), F.row_number().over(Window.partitionBy("h").orderBy("bytes")).cast("string"))).otherwise(F.floor((F.col("_sum") - F.col("bytes")) / half).cast("string"))
-    return plain.unionByName(over.withColumn("shard", F.concat("shard", F.lit("+"), page)).drop("h", "_sum"))
+    over = placed.where("_deals IS NOT NULL").withColumn("_deal", F.floor(F.rand(7) * F.col("_deals")))
+    over = over.withColumn("_sum", F.sum("bytes").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_n", F.row_number().over(own))
+    page = F.when(F.col("bytes") > half, F.concat(F.lit("r"), "_n")).otherwise(F.floor((F.col("_sum") - F.col("bytes")) / half).cast("string"))
+    over = over.withColumn("shard", F.concat("shard", F.lit("+"), "_deal", F.lit("."), page))
+    return placed.where("_deals IS NULL").drop("_deals"), over.drop("_deals", "_deal", "_sum", "_n")
+
+
+def size_of(text: Column) -> Column:
+    return F.coalesce(F.octet_length(text.cast("string")), F.lit(0)).cast("long")
+
+
+def assign(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, bytes (UTF-8, null: 0), depth, shard (the prefix as bits, then the overflow page if any) of every document.
+
+    Every shard holds at most `limit` bytes, unless it is a single row. Repeated ids share a hash; other columns are
+    ignored. Texts are measured where they lie and never shuffled.
+    """
+    base = materialize(docs.select(F.col(id_col).alias("doc_id"), hash_of(F.col(id_col)).alias("h"), size_of(F.col(text_col)).alias("bytes")), "sizes")
+    plain, over = place(base, base, limit)
+    return (plain.unionByName(over) if over else plain).select("doc_id", "bytes", "depth", "shard")
 
 
 def write_shards(docs: DataFrame, out_dir: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the documents as Parquet, one folder for each shard; returns the assignment."""
-    placed = materialize(assign(docs, limit, id_col, text_col).select("doc_id", "shard").distinct(), "assignment")
-    joined = docs.join(placed, docs[id_col].eqNullSafe(placed["doc_id"])).drop(placed["doc_id"])
-    joined.repartition("shard").write.partitionBy("shard").parquet(out_dir)
-    return placed
+    """Write the documents as Parquet, one folder for each shard; returns what assign() does, from the files read back.
+
+    Every row is written once, with all its columns, whatever its id; shards are as bounded as those of assign(). Texts
+    travel once, by ranges of hashes, and a shard is a run of hashes: a folder has a few files, and no task is larger than its range.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), hash_of(F.col(id_col)).alias("h"), size_of(F.col(text_col)).alias("bytes"))
+    sizes = materialize(rows.select("h", "bytes"), "sizes")
+    plain, over = place(rows, sizes, limit)
+    width = max(shuffle_width(spark), math.ceil((sizes.agg(F.sum("bytes")).first()[0] or 0) / limit))
+    dealt = plain.repartitionById(width, F.shiftright(F.shiftright("h", HASH_BITS - 24) * F.lit(width).cast("long"), 24).cast("int"))
+    dealt = dealt.unionByName(over) if over else dealt
+    dealt.select("row.*", "shard").write.partitionBy("shard").parquet(out_dir)
+    again = read_shards(spark, out_dir, docs.schema)
+    return again.select(F.col(id_col).alias("doc_id"), size_of(F.col(text_col)).alias("bytes"), F.length(F.substring_index("shard", "+", 1)).alias("depth"), "shard")
+
+
+def read_shards(spark: SparkSession, out_dir: str, schema: T.StructType) -> DataFrame:
+    """The rows of write_shards() and their shard; schema is that of the documents. Without it Spark would take shards for numbers."""
+    again = spark.read.schema(T.StructType([*schema.fields, T.StructField("shard", T.StringType())])).parquet(out_dir)
+    return again.withColumn("shard", F.coalesce("shard", F.lit("")))
 
 
 def oracle(limit: int = LIMIT) -> str:

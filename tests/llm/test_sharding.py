@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from quillspark.llm.sharding import HASH_BITS, assign, write_shards
+from quillspark.llm.sharding import HASH_BITS, assign, read_shards, write_shards
 
 
 def brute(rows, limit):
@@ -54,3 +54,22 @@ def test_written_shards(spark, tmp_path):
     again = spark.read.option("basePath", out).parquet(out)
     assert again.count() == 60
     assert again.groupBy("shard").sum().count() == placed.select("shard").distinct().count()
+
+
+@pytest.mark.parametrize("limit", [100, 10**6])
+def test_written_once_with_repeated_and_null_ids(spark, tmp_path, limit):
+    rows = [(1, "x" * 30, k) for k in range(50)] + [(1, "same", 0)] * 100 + [(1, "y" * 95, 0), (1, None, 1)] + [(None, "n" * 40, k % 2) for k in range(30)] + [(2, "z" * 500, 0)] + [(i, "w" * 10, i) for i in range(3, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bytes int").repartition(3)
+    out = str(tmp_path / "shards")
+    placed = write_shards(docs, out, limit).collect()
+    again = read_shards(spark, out, docs.schema).collect()
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(((r.doc_id, r.text, r.bytes) for r in again), key=key) == sorted(rows, key=key)
+    held = {}
+    for r in again:
+        held.setdefault(r.shard, []).append(len(r.text or ""))
+    assert all(sum(b) <= limit or len(b) == 1 for b in held.values())
+    assert sorted(((r.doc_id, r.bytes, r.shard) for r in placed), key=key) == sorted(((r.doc_id, len(r.text or ""), r.shard) for r in again), key=key)
+    want = {(r.doc_id, r.depth, r.shard.split("+")[0]) for r in assign(docs, limit).collect()}
+    assert {(r.doc_id, r.depth, r.shard.split("+")[0]) for r in placed} == want
+    assert write_shards(docs.limit(0), str(tmp_path / "none"), limit).collect() == []
