@@ -1,8 +1,11 @@
 import hashlib
+import os
 import random
 
+import duckdb
 import pytest
 
+from quillspark.llm import queries
 from quillspark.llm.sharding import HASH_BITS, assign, read_shards, write_shards
 
 
@@ -73,3 +76,14 @@ def test_written_once_with_repeated_and_null_ids(spark, tmp_path, limit):
     want = {(r.doc_id, r.depth, r.shard.split("+")[0]) for r in assign(docs, limit).collect()}
     assert {(r.doc_id, r.depth, r.shard.split("+")[0]) for r in placed} == want
     assert write_shards(docs.limit(0), str(tmp_path / "none"), limit).collect() == []
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the generated tables are elsewhere")
+def test_query_reads_written_shards(spark):
+    sf = "/root/testdata/sf0.001"
+    got = queries.op5_sharding(spark, sf)
+    assert got.inputFiles() and all("/shard=" in f for f in got.inputFiles())
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = db.sql(queries.oracle_sql()["op5_sharding"]).fetchall()
+    assert sorted(tuple(r) for r in got.select("doc_id", "bytes", "depth", "shard").collect()) == sorted(want)
