@@ -198,15 +198,19 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def training_passages(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = PER_LANG, passage: int = PASSAGE) -> list[tuple[str, str]]:
-    """(language, passage) of at most per_lang distinct labelled documents of each language, drawn by hash; null ids are never drawn."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).alias("lang"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """(language, passage) of at most per_lang distinct labelled documents of each language, drawn by hash; null ids are never drawn.
+
+    The rate of a language follows its usable documents: those whose passage has a letter, repeated rows counted once.
+    """
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).alias("lang"))
+    start = F.lit(1) + F.pmod(F.shiftright("h", 20), F.greatest(F.lit(1), F.length("t") - passage + 1)).cast("int")
+    hashed = rows.withColumn("h", F.xxhash64(F.lit(SEED), "i", "t")).select("lang", "h", F.substring("t", start, F.lit(passage)).alias("p"))
+    usable = hashed.where(F.regexp_like("p", F.lit(r"\p{L}")))
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
         return []
     share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, 3 * per_lang / n))) for lang, n in sorted(counts.items())])
-    hashed = rows.withColumn("h", F.xxhash64(F.lit(SEED), "i", "t")).where(F.col("t").isNotNull() & (F.pmod("h", F.lit(1_000_003)) < share * 1_000_003))
-    start = F.lit(1) + F.pmod(F.shiftright("h", 20), F.greatest(F.lit(1), F.length("t") - passage + 1)).cast("int")
-    drawn = hashed.groupBy("lang", "h").agg(F.min(F.substring("t", start, F.lit(passage))).alias("p")).collect()  # repeated rows count once
+    drawn = usable.where(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003).groupBy("lang", "h").agg(F.min("p").alias("p")).collect()  # repeated rows count once
     found: dict[str, list] = {}
     for r in sorted(drawn, key=lambda r: (r["lang"], r["h"])):
         if has_letter(r["p"]) and len(found.setdefault(r["lang"], [])) < per_lang:

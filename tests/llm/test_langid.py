@@ -2,8 +2,9 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from quillspark.llm.langid import STRETCH, UNKNOWN, Network, fit, identify, keep_known, predict, stretches
+from quillspark.llm.langid import STRETCH, UNKNOWN, Network, fit, identify, keep_known, predict, stretches, training_passages
 
 PARTS = {"en": ["the", "ing", "tion", "er", "ha", "wh"], "de": ["der", "ung", "sch", "ü", "ä", "pf"], "fr": ["le", "eau", "oi", "é", "è", "que"], "es": ["el", "ción", "ñ", "rr", "ado", "ó"]}
 
@@ -74,3 +75,13 @@ def test_nothing_to_learn(spark):
     assert identify(docs.limit(0)).collect() == []
     assert stretches([])[0].shape == (0, STRETCH)
     assert docs.select(predict(None, docs.text)).count() == 2
+
+
+def test_rate_counts_usable_texts(spark):
+    n = 60_000
+    text = F.when(F.col("id") < 800, F.concat(F.lit("words of number "), "id")).when(F.col("id") % 2 == 0, F.concat("id", F.lit(" 12 -- ")))
+    empty = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("xx").alias("lang"))
+    again = spark.range(n).select(F.when(F.col("id") < 800, F.col("id")).otherwise(0).alias("doc_id"), F.lit("repeated words").alias("text"), F.lit("yy").alias("lang"))
+    found = training_passages(empty.unionByName(again), "doc_id", "text", "lang")
+    assert [sum(lang == x for lang, _ in found) for x in ("xx", "yy")] == [300, 300]
+    assert all(any(map(str.isalpha, p)) for _, p in found)
