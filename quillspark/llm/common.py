@@ -1,13 +1,15 @@
 """What the operators of this subpackage share: scratch tables, shared files, input tables."""
 
 import os
+import re
 import tempfile
 import uuid
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillspark.session import ship
 
@@ -21,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is configured."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; a folder of our own only where all run in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -55,6 +59,11 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def row_of(docs: DataFrame, but: tuple[str, ...] = ()) -> Column:
+    """All columns of a row as one struct, so that no name of theirs meets one of ours."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in but])
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
