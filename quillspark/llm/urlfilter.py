@@ -5,18 +5,21 @@ leading or trailing `|` for the start or end of the URL, `*` for anything, `^` f
 it makes it an exception, which beats any block. The literal tokens of a pattern ([a-z0-9] runs with a boundary on both
 sides) must stand in every URL that it fits. Each rule is filed under the one of its tokens that is rarest in the
 corpus; a URL's tokens fetch candidates, and only their regular expressions run. A rule without tokens always runs.
+The index is a hash table in the plan, of the size of the rule set, so that a token costs the same at any number of rules.
 """
 
 import json
 import re
+import zlib
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import row_of
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rule sets of up to this many rules travel in the plan itself; larger ones are joined by token.
-INLINE = 200
 
 
 class HostRule(NamedTuple):
@@ -89,16 +92,30 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.coalesce(lowered(host), F.lit("")), F.coalesce(path, F.lit(""))
 
 
+def filed_under(entries: dict[str, list[dict]], shape: str) -> Callable[[Column], Column]:
+    """A function from a key column to the array<struct<shape>> filed under the key; keys are spread over slots by CRC-32."""
+    slots = 1 << max(0, len(entries) - 1).bit_length()
+    table: list[list] = [[] for _ in range(slots)]
+    for key, found in entries.items():
+        table[zlib.crc32(key.encode()) % slots].append({"key": key, "found": found})
+    index = F.from_json(F.lit(json.dumps(table)), f"array<array<struct<key:string,found:array<struct<{shape}>>>>>")
+
+    def fetch(key: Column) -> Column:
+        slot = F.get(index, (F.crc32(key.cast("binary")) % slots).cast("int"))
+        return F.flatten(F.transform(F.filter(slot, lambda e: e["key"] == key), lambda e: e["found"]))
+
+    return fetch
+
+
 def host_rule(host: Column, path: Column, rules: list[HostRule]) -> Column:
     """The longest rule that fits the host or a domain above it and the start of the path, as struct(size, rule, verdict); null for none."""
     filed: dict[str, list] = {}
     for r in rules:
         filed.setdefault(r.host, []).append({"path": r.path, "rule": r.host + r.path, "size": len(r.host + r.path), "verdict": r.verdict})
-    index = F.from_json(F.lit(json.dumps(filed)), "map<string,array<struct<path:string,rule:string,size:int,verdict:string>>>")
+    fetch = filed_under(filed, "path:string,rule:string,size:int,verdict:string")
     labels = F.size(F.split(host, r"\."))
     suffixes = F.transform(F.sequence(F.lit(1), labels), lambda i: F.call_function("substring_index", host, F.lit("."), -i))
-    fetched = F.flatten(F.filter(F.transform(suffixes, lambda s: F.try_element_at(index, s)), lambda x: x.isNotNull()))
-    fits = F.filter(fetched, lambda r: F.startswith(path, r["path"]))
+    fits = F.filter(F.flatten(F.transform(suffixes, fetch)), lambda r: F.startswith(path, r["path"]))
     return F.array_max(F.transform(fits, lambda r: F.struct(r["size"].alias("size"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
 
 
@@ -106,56 +123,48 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(lowered(F.coalesce(url, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1)))
 
 
-def rarest_tokens(urls: DataFrame, url_col: str, patterns: list[str]) -> dict[str, str]:
-    """For each pattern with tokens, the one that the fewest URLs of the corpus hold (ties: the longest, then the first)."""
+def rarest_tokens(url_tokens_of: DataFrame, patterns: list[str]) -> dict[str, str]:
+    """For each pattern with tokens, the one that the fewest rows of url_tokens_of(tokens) hold (ties: the longest, then the first)."""
     literal = sorted({t for p in patterns for t in tokens_of(p)})
-    seen = urls.select(F.explode(url_tokens(F.col(url_col))).alias("token")).where(F.col("token").isin(literal))
+    seen = url_tokens_of.select(F.explode("tokens").alias("token")).where(F.col("token").isin(literal))
     count = {r["token"]: r["n"] for r in seen.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()} if literal else {}  # at most the rules' tokens
     return {p: min(ts, key=lambda t: (count.get(t, 0), -len(t), t)) for p in patterns if (ts := tokens_of(p))}
 
 
-def pattern_verdicts(pages: DataFrame, url_col: str, patterns: list[str], out: str = "pattern", inline: int = INLINE) -> DataFrame:
-    """Adds `out`: struct(exception, pattern) of the rule that decides, null where none fits; the first exception, else the first block in order of text."""
-    patterns = sorted(set(patterns))
-    rarest = rarest_tokens(pages, url_col, patterns)
-    row = lambda p: {"exception": p.startswith("@@"), "pattern": p, "regex": regex_of(p)}
-    shape = "struct<exception:boolean,pattern:string,regex:string>"
-    url = lowered(F.coalesce(F.col(url_col), F.lit("")))
-    always = F.from_json(F.lit(json.dumps([row(p) for p in patterns if p not in rarest])), f"array<{shape}>")
-
-    def decide(fetched: Column) -> Column:
-        fits = F.filter(F.concat(always, fetched), lambda r: F.rlike(url, r["regex"]))
-        first = F.array_min(F.transform(fits, lambda r: F.struct((~r["exception"]).alias("blocks"), r["pattern"].alias("pattern"))))
-        return F.when(first.isNotNull(), F.struct((~first["blocks"]).alias("exception"), first["pattern"].alias("pattern")))
-
-    if len(patterns) <= inline:
-        filed: dict[str, list] = {}
-        for p, t in rarest.items():
-            filed.setdefault(t, []).append(row(p))
-        index = F.from_json(F.lit(json.dumps(filed)), f"map<string,array<{shape}>>")
-        named = F.filter(url_tokens(F.col(url_col)), lambda t: F.array_contains(F.array(*map(F.lit, filed)) if filed else F.array(F.lit("")), t))
-        return pages.withColumn(out, decide(F.flatten(F.filter(F.transform(named, lambda t: F.try_element_at(index, t)), lambda x: x.isNotNull()))))
-    spark = pages.sparkSession
-    rules = spark.createDataFrame([(t, (p.startswith("@@"), p, regex_of(p))) for p, t in rarest.items()], f"_token string, _rule {shape}")
-    keyed = pages.select(F.col(url_col).alias("_url")).where(F.col("_url").isNotNull()).distinct()
-    met = keyed.withColumn("_token", F.explode(url_tokens(F.col("_url")))).join(rules, "_token")
-    met = met.where(F.rlike(lowered(F.col("_url")), F.col("_rule.regex"))).groupBy("_url").agg(F.collect_set("_rule").alias("_met"))
-    joined = pages.join(met, F.col(url_col) == F.col("_url"), "left")
-    return joined.withColumn(out, decide(F.coalesce(F.col("_met"), F.array().cast(f"array<{shape}>")))).drop("_url", "_met")
-
-
-def judge_urls(pages: DataFrame, host_rules: list[HostRule] = HOST_RULES, patterns: list[str] = PATTERN_RULES, url_col: str = "url", inline: int = INLINE) -> DataFrame:
-    """Adds host, path, rule, verdict and pattern, in place of columns of these names.
+def pattern_rule(url: Column, tokens: Column, patterns: list[str], rarest: dict[str, str]) -> Column:
+    """struct(blocks, pattern) of the rule that decides, null where none fits: the first exception, else the first block in order of text."""
+    entry = lambda p: {"blocks": not p.startswith("@@"), "pattern": p, "regex": regex_of(p)}
+    shape = "blocks:boolean,pattern:string,regex:string"
+    filed: dict[str, list] = {}
+    for p, t in rarest.items():
+        filed.setdefault(t, []).append(entry(p))
+    always = F.from_json(F.lit(json.dumps([entry(p) for p in patterns if p not in rarest])), f"array<struct<{shape}>>")
+    fetched = F.flatten(F.transform(tokens, filed_under(filed, shape)))
+    fits = F.filter(F.concat(always, fetched), lambda r: F.rlike(url, r["regex"]))
+    return F.array_min(F.transform(fits, lambda r: F.struct(r["blocks"].alias("blocks"), r["pattern"].alias("pattern"))))
+
+
+JUDGED = ("host", "path", "rule", "verdict", "pattern")
+
+
+def judge_urls(pages: DataFrame, host_rules: list[HostRule] = HOST_RULES, patterns: list[str] = PATTERN_RULES, url_col: str = "url") -> DataFrame:
+    """Adds host, path, rule, verdict and pattern, in place of columns of these names; all other columns stay, whatever they are called.
 
     A host rule decides before any pattern; where neither fits the verdict is allow. Null URLs and URLs without
-    `://` have an empty host and path; patterns still run on the latter. Repeated rows are judged each.
+    `://` have an empty host and path; patterns still run on the latter, empty URLs included. Repeated rows, and rows
+    with null ids, are judged each; an empty table gives an empty one. Works alike at any number of rules.
     """
-    host, path = split_url(F.col(url_col))
-    judged = pages.withColumns({"host": host, "path": path})
-    judged = judged.withColumn("_hit", host_rule(F.col("host"), F.col("path"), host_rules))
-    judged = pattern_verdicts(judged, url_col, patterns, "_pattern", inline)
-    by_pattern = F.when(F.coalesce(~F.col("_pattern.exception"), F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
-    return judged.withColumns({"rule": F.col("_hit.rule"), "verdict": F.coalesce(F.col("_hit.verdict"), by_pattern), "pattern": F.col("_pattern.pattern")}).drop("_hit", "_pattern")
+    patterns = sorted(set(patterns))
+    url = F.col(f"`{url_col}`").cast("string")
+    host, path = split_url(url)
+    held = pages.select(row_of(pages, but=JUDGED).alias("row"), host.alias("host"), path.alias("path"), lowered(F.coalesce(url, F.lit(""))).alias("low"), url_tokens(url).alias("tokens"))
+    rarest = rarest_tokens(held, patterns)
+    by_host = held.withColumn("hit", host_rule(F.col("host"), F.col("path"), host_rules))
+    both = by_host.withColumn("met", pattern_rule(F.col("low"), F.col("tokens"), patterns, rarest))
+    by_pattern = F.when(F.coalesce(F.col("met.blocks"), F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
+    others = [c for c in pages.columns if c.lower() not in JUDGED]
+    judged = {"host": F.col("host"), "path": F.col("path"), "rule": F.col("hit.rule"), "verdict": F.coalesce(F.col("hit.verdict"), by_pattern), "pattern": F.col("met.pattern")}
+    return both.select(*[F.col(f"row.`{c}`") for c in others], *[v.alias(n) for n, v in judged.items()])
 
 
 def oracle(host_rules: list[HostRule] = HOST_RULES, patterns: list[str] = PATTERN_RULES) -> str:

@@ -1,8 +1,7 @@
+import functools
 import re
 
-import pytest
-
-from quillspark.llm.urlfilter import HOST_RULES, PATTERN_RULES, judge_urls, regex_of, tokens_of
+from quillspark.llm.urlfilter import HOST_RULES, PATTERN_RULES, judge_urls, tokens_of
 
 URLS = [
     None, "", "no scheme", "http://", "https://EXAMPLE.com/en/7?x", "http://a.b.example.com/en/8", "http://example.net/de/8", "http://x.net/de/8/a#f",
@@ -12,7 +11,34 @@ URLS = [
 ]
 
 
-def brute(url):
+def fits(pattern, url):
+    """Filter syntax, read character by character, without the library's regular expressions."""
+    body = pattern.removeprefix("@@").lower()
+    if body.startswith("||"):
+        body, m = body[2:], re.match(r"[a-z][a-z0-9+.\-]*://", url)
+        host = re.match(r"[^/?#]*", url[m.end() :])[0] if m else ""
+        starts = [m.end(), *(m.end() + i + 1 for i, c in enumerate(host) if c == ".")] if m else []
+    elif body.startswith("|"):
+        body, starts = body[1:], [0]
+    else:
+        starts = range(len(url) + 1)
+    ends = body.endswith("|")
+    body = body.removesuffix("|")
+
+    @functools.cache
+    def at(i, j):
+        if i == len(body):
+            return not ends or j == len(url)
+        if body[i] == "*":
+            return any(at(i + 1, k) for k in range(j, len(url) + 1))
+        if body[i] == "^":
+            return j == len(url) and at(i + 1, j) or j < len(url) and not re.match(r"[a-z0-9_.%\-]", url[j]) and at(i + 1, j + 1)
+        return j < len(url) and url[j] == body[i] and at(i + 1, j + 1)
+
+    return any(at(0, j) for j in starts)
+
+
+def brute(url, patterns=PATTERN_RULES):
     at = (url or "").find("://")
     rest = (url or "")[at + 3 :] if at >= 0 else ""
     host = re.match(r"[^/?#]*", rest)[0]
@@ -21,19 +47,33 @@ def brute(url):
     fit = [r for r in HOST_RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
     best = max(fit, key=lambda r: len(r.host + r.path), default=None)
     low = re.sub("[A-Z]+", lambda m: m[0].lower(), url or "")
-    hit = [p for p in PATTERN_RULES if re.search(regex_of(p).replace(r"\z", r"\Z"), low)]
+    hit = [p for p in patterns if fits(p, low)]
     first = min(hit, key=lambda p: (not p.startswith("@@"), p), default=None)
     verdict = best.verdict if best else "block" if first and not first.startswith("@@") else "allow"
     return host, path, best and best.host + best.path, verdict, first
 
 
-@pytest.mark.parametrize("inline", [200, 0])
-def test_against_every_rule(spark, inline):
-    rows = [(i, u, "clash", "x") for i, u in enumerate(URLS + URLS[5:8])]
-    pages = spark.createDataFrame(rows, "page_id long, url string, host string, verdict string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict, r.pattern) for r in judge_urls(pages, inline=inline).collect()}
-    assert got == {i: brute(u) for i, u, _, _ in rows}
-    assert judge_urls(pages.limit(0), inline=inline).collect() == []
+MANY = PATTERN_RULES + [f"||site{i}.example^" for i in range(300)] + [f"/ad{i}/*/x{i}." for i in range(300)] + ["@@/ad7/*", "*", "|ftp://", "banner*.gif|"]
+
+
+def test_against_every_rule(spark):
+    """A few rules and hundreds, with columns that have the names of results and of what is in between."""
+    more = ["http://a.site7.example/", "http://site7.example.org/", "http://h/ad9/b/x9.js", "http://h/ad7/b/x7.js", "http://h/banner/1.gif", "http://h/ad9/b/x10.js"]
+    rows = [(i, u, "clash", "x", "a", "b", "c", "d", "e") for i, u in enumerate(URLS + URLS[5:8] + more)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, Verdict string, _url string, _hit string, _pattern string, row string, tokens string")
+    for patterns in (PATTERN_RULES, MANY[:-3], MANY, []):
+        got = judge_urls(pages, patterns=patterns)
+        assert sorted(got.columns) == sorted("page_id url _url _hit _pattern row tokens host path rule verdict pattern".split())
+        assert {r.page_id: (r.host, r.path, r.rule, r.verdict, r.pattern) for r in got.collect()} == {r[0]: brute(r[1], patterns) for r in rows}
+        assert {(r._url, r._hit, r._pattern, r.row, r.tokens) for r in got.collect()} == {("a", "b", "c", "d", "e")}
+        assert judge_urls(pages.limit(0), patterns=patterns).collect() == []
+
+
+def test_null_ids_and_very_long_urls(spark):
+    long = "http://h.example/" + "a/" * 500_000 + "wp-login.php"
+    pages = spark.createDataFrame([(None, long), (None, long), (1, None)], "page_id long, url string")
+    got = judge_urls(pages).collect()
+    assert sorted((r.verdict, len(r.path)) for r in got) == [("allow", 0)] + [("block", len(long) - 16)] * 2
 
 
 def test_tokens_stand_in_every_match():
