@@ -51,6 +51,14 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(directory, pages.schema["page_id"].dataType)
 
 
+def warc_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index at work: the URLs of every page whose id is divisible by 20, searched in archives of all pages."""
+    pages = table(spark, sf_dir, "pages")
+    directory = warc.write_archives(pages, scratch_path(spark, "archives"))
+    found = warc.lookup(directory, pages.where("page_id % 20 = 0"), pages.schema["page_id"].dataType)
+    return found.select("page_id", "payload_bytes", "record_type", "refers_to")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = scratch_path(spark, "token-files")
@@ -76,6 +84,7 @@ def queries() -> dict:
         "op9_token_files": op9_token_files,
         "op10_url_filter": op10_url_filter,
         "shards_64k": shards_64k,
+        "warc_lookup": warc_lookup,
     }
 
 
@@ -85,4 +94,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_sharding": sharding.oracle(),
         "op10_url_filter": urlfilter.oracle(),
         "shards_64k": sharding.oracle(64 << 10),
+        "warc_lookup": warc.lookup_oracle(),
     }

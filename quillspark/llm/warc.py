@@ -1,18 +1,22 @@
 """WARC archives with a two-level capture index.
 
 Records are written in the order of their reversed-host URL keys, each a gzip member of its own. The index lists the
-captures in the same order, in compressed blocks of ENTRIES lines; a sparse directory keeps the first key of each
-block and where it is. A lookup searches the directory by halving, reads one block, and then the byte ranges of the
-captures that it names. Reading everything takes one range of an archive for each block.
+captures in the same order, in compressed blocks of at most ENTRIES captures and about BLOCK_BYTES of payload; beside it,
+a sparse directory keeps the first key of each block and where it is. A lookup finds the parts whose range of keys holds
+a key, and in each task of the search halves the part's directory, reads the blocks that may hold the key, and then the
+byte ranges of its captures. Reading everything takes one range of an archive for each block.
 """
 
 import base64
 import bisect
 import hashlib
+import json
 import re
 import uuid
 import zlib
+from collections.abc import Callable
 from typing import NamedTuple
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -21,9 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm.common import discard, materialize, open_fs, shuffle_width, slices
-from quillspark.llm.urlfilter import lowered
+from quillspark.llm.urlfilter import LOWER, UPPER, lowered
 
-ENTRIES = 512
+ENTRIES, BLOCK_BYTES = 512, 8 << 20
 LEVEL = 4
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -31,7 +35,7 @@ _UNSAFE = re.compile("[\x00-\x20\x7f]")
 
 
 class Record(NamedTuple):
-    page_id: str
+    page_id: str | None
     url: str | None
     payload_bytes: int
     payload_digest: str
@@ -44,11 +48,16 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def urn(page_id: str) -> str:
-    return f"<urn:page:{page_id}>"
+def urn(page_id: str | None) -> str:
+    """A record id; what is not a letter, a digit or one of `_.-~` is escaped, and a null id is apart from an empty one."""
+    return "<urn:page>" if page_id is None else f"<urn:page:{quote(page_id, safe='')}>"
 
 
-def record(page_id: str, url: str | None, payload: bytes, refers_to: str | None = None) -> bytes:
+def id_of(name: str) -> str | None:
+    return None if name == "<urn:page>" else unquote(name.removeprefix("<urn:page:").removesuffix(">"))
+
+
+def record(page_id: str | None, url: str | None, payload: bytes, refers_to: str | None = None) -> bytes:
     """One gzip member: a response with its payload, or, with refers_to, a revisit with the HTTP header alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     head = ["WARC/1.0", f"WARC-Type: {'revisit' if refers_to is not None else 'response'}", f"WARC-Record-ID: {urn(page_id)}", f"WARC-Date: {DATE}"]
@@ -77,7 +86,6 @@ def parse(member: bytes) -> Record:
         raise ValueError("the record has another length than its header says")
     http, payload = block.split(b"\r\n\r\n", 1)
     size, digest = int(_fields(http)["Content-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:")
-    id_of = lambda v: v.removeprefix("<urn:page:").removesuffix(">")
     if h["WARC-Type"] == "response" and (len(payload) != size or digest_of(payload) != digest):
         raise ValueError(f"record {h['WARC-Record-ID']} fails its digest")
     refers = h.get("WARC-Refers-To")
@@ -98,18 +106,19 @@ def key_of(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + ")" + rest[len(host) :]
 
 
-def write_archives(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, entries: int = ENTRIES) -> DataFrame:
-    """Write archives and index; returns the directory: part, block, first_key, archive, at, size, index, index_at, index_size, entries.
+def write_archives(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, entries: int = ENTRIES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Write archives, index and sparse directories; returns a row for each block: part, block, first_key, last_key, archive, at, size, index, index_at, index_size, entries, sparse.
 
     Of records with equal payloads of at least `least` bytes (by SHA-1 and length), that with the largest id is the
     response and the others revisit it; smaller ones are responses. Null payloads are empty; null ids never get to be
-    a response that others refer to; repeated rows with the largest id are each a response. Only digests are grouped;
-    pages travel once, to be sorted by key and id. A repeated task writes files of its own, and the directory names
-    those that count.
+    a response that others refer to; repeated rows with the largest id are each a response. Null URLs have an empty key; an
+    empty table writes nothing; other columns are ignored. Only digests are grouped; pages travel once, to be dealt out
+    and sorted by key, id and digest, so that only wholly repeated captures stay together. A repeated task writes files
+    of its own, and the directory names those that count.
     """
     spark = pages.sparkSession
-    payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    full = pages.select(url_key(F.col(url_col).cast("string")).alias("key"), F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha1(payload.cast("binary")).alias("sha"))
+    payload, url = F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")), F.col(f"`{url_col}`").cast("string")
+    full = pages.select(url_key(url).alias("key"), F.col(f"`{id_col}`").alias("id"), url.alias("url"), payload.alias("payload"), F.sha1(payload.cast("binary")).alias("sha"))
     digests = materialize(full.select("key", "id", "sha", F.octet_length("payload").alias("n")), "digests")
     own = digests.where(F.col("n") >= least)
     top = own.groupBy("sha", "n").agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("c")).where("c > 1 AND top IS NOT NULL").select(F.col("sha").alias("s"), F.col("n").alias("m"), "top")
@@ -119,28 +128,28 @@ def write_archives(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_
     markers = revisits.select("key", "id", F.lit(0).alias("kind"), "sha", F.col("top").cast("string").alias("top"), none.alias("url"), none.alias("payload")).distinct()
     rows = markers.unionByName(full.select("key", "id", F.lit(1).alias("kind"), "sha", none.alias("top"), "url", "payload"))
     width = max(shuffle_width(spark), pages.rdd.getNumPartitions())
-    ordered = rows.repartitionByRange(width, "key", "id").sortWithinPartitions("key", "id", "kind").select("key", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "url", "payload", "top", "kind", "sha")
+    ordered = rows.repartitionByRange(width, "key", "id", "sha").sortWithinPartitions("key", "id", "sha", "kind").select("key", F.col("id").cast("string").alias("id"), "url", "payload", "top", "kind", "sha")
 
     def write(batches):
         part, fs = TaskContext.get().partitionId(), None
-        lines, first, at, index_at, block, out = [], None, 0, 0, 0, []
+        lines, first, at, index_at, block, held, out = [], None, 0, 0, 0, 0, []
         of, marked = None, {}  # the revisits of one key and id, by digest
 
         def flush():
-            nonlocal lines, first, index_at, block
+            nonlocal lines, first, index_at, block, held
             body = zlib.compress("\n".join(lines).encode(), 6)
             index.write(body)
-            out.append({"part": part, "block": block, "first_key": first[0], "archive": archive_path, "at": first[1], "size": at - first[1], "index": index_path, "index_at": index_at, "index_size": len(body), "entries": len(lines)})
+            out.append({"part": part, "block": block, "first_key": first[0], "last_key": last, "archive": archive_path, "at": first[1], "size": at - first[1], "index": index_path, "index_at": index_at, "index_size": len(body), "entries": len(lines), "sparse": sparse_path})
             index_at += len(body)
             block += 1
-            lines, first = [], None
+            lines, first, held = [], None, 0
 
         for batch in batches:
             if batch.num_rows and fs is None:
                 fs, where = open_fs(out_dir)
                 fs.create_dir(where, recursive=True)
                 name = f"part-{part:06d}-{uuid.uuid4().hex[:12]}"
-                archive_path, index_path = f"{out_dir}/{name}.warc.gz", f"{out_dir}/{name}.cdx.z"
+                archive_path, index_path, sparse_path = (f"{out_dir}/{name}{ext}" for ext in (".warc.gz", ".cdx.z", ".dir.z"))
                 archive, index = (fs.open_output_stream(f"{where}/{name}{ext}", compression=None) for ext in (".warc.gz", ".cdx.z"))
             keys, ids, urls, tops, kinds, shas = (batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5, 6))
             for start, payloads in slices(batch.column(3)):
@@ -153,19 +162,23 @@ def write_archives(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_
                     member = record(ids[i], urls[i], text.encode(), marked.get(shas[i]))
                     archive.write(member)
                     first = first or (keys[i], at)
-                    lines.append(f"{at} {len(member)} {ids[i] or '-'} {keys[i]!r}")
+                    lines.append(json.dumps([at, len(member), ids[i], keys[i]]))
                     at += len(member)
-                    if len(lines) >= entries:
+                    held += len(text)
+                    last = keys[i]
+                    if len(lines) >= entries or held >= block_bytes:
                         flush()
         if fs is not None:
             if lines:
                 flush()
             archive.close()
             index.close()
+            with fs.open_output_stream(f"{where}/{name}.dir.z", compression=None) as sparse:
+                sparse.write(zlib.compress(json.dumps([[r["first_key"], r["index_at"], r["index_size"]] for r in out]).encode(), 6))
             for i in range(0, len(out), 1000):
                 yield pa.RecordBatch.from_pylist(out[i : i + 1000])
 
-    schema = "part int, block int, first_key string, archive string, at long, size long, index string, index_at long, index_size long, entries int"
+    schema = "part int, block int, first_key string, last_key string, archive string, at long, size long, index string, index_at long, index_size long, entries int, sparse string"
     types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
     arrow = pa.schema([(n, types[t]) for n, t in (c.split() for c in schema.split(", "))])
 
@@ -185,45 +198,117 @@ def read_range(uri: str, at: int, size: int) -> bytes:
         return f.read(size)
 
 
-def entries_of(body: bytes) -> list[tuple[int, int, str, str]]:
+def entries_of(body: bytes) -> list[tuple[int, int, str | None, str]]:
     """(offset, size, id, key) of each capture of an index block."""
-    import ast
+    return [tuple(json.loads(line)) for line in zlib.decompress(body).decode().split("\n")]
+
+
+class Part:
+    """Lookups in one part: its sparse directory is held, one index block at a time is read."""
+
+    def __init__(self, archive: str, index: str, sparse: str, read: Callable[[str, int, int], bytes] = None):
+        self.archive, self.index, self.read = archive, index, read or read_range
+        fs, where = open_fs(sparse)
+        with fs.open_input_stream(where, compression=None) as f:
+            self.blocks = json.loads(zlib.decompress(f.read()))
+        self.firsts = [b[0] for b in self.blocks]
+        self.held, self.entries, self.keys, self.blocks_read = -1, [], [], 0
+
+    def captures(self, key: str):
+        """The records of a key, in the order of the index; one capture is held at a time."""
+        for n in range(max(0, bisect.bisect_left(self.firsts, key) - 1), bisect.bisect_right(self.firsts, key)):
+            if n != self.held:
+                self.entries, self.held = entries_of(self.read(self.index, *self.blocks[n][1:])), n
+                self.keys = [e[3] for e in self.entries]
+                self.blocks_read += 1
+            for at, size, _, _ in self.entries[bisect.bisect_left(self.keys, key) : bisect.bisect_right(self.keys, key)]:
+                yield parse(self.read(self.archive, at, size))
+
 
-    out = []
-    for line in zlib.decompress(body).decode().split("\n"):
-        at, size, page, key = line.split(" ", 3)
-        out.append((int(at), int(size), "" if page == "-" else page, ast.literal_eval(key)))
-    return out
+_RECORD = (("page_id", "string"), ("payload_bytes", "long"), ("payload_digest", "string"), ("record_type", "string"), ("refers_to", "string"), ("url", "string"), ("payload", "binary"))
+_ARROW = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+
+
+def _batches(records, payloads: bool, limit: int = BLOCK_BYTES):
+    """Record batches of at most 4096 records and about limit bytes of payload."""
+    fields = _RECORD if payloads else _RECORD[:5]
+    schema = pa.schema([(n, _ARROW[t]) for n, t in fields])
+    rows, held = [], 0
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    for x in records:
+        rows.append((x.page_id, x.payload_bytes, x.payload_digest, x.record_type, x.refers_to, x.url, x.payload)[: len(fields)])
+        held += len(x.payload) if payloads else 0
+        if len(rows) >= 4096 or held >= limit:
+            yield batch()
+            rows, held = [], 0
+    if rows:
+        yield batch()
+
+
+def _typed(got: DataFrame, kind: T.DataType) -> DataFrame:
+    return got.withColumns({"page_id": F.col("page_id").cast(kind), "refers_to": F.col("refers_to").cast(kind)})
 
 
-def lookup(directory: list, url: str | None) -> list[Record]:
-    """The captures of a URL: directory is the rows of write_archives(), sorted by part and block."""
-    key = key_of(url)
-    firsts = [r["first_key"] for r in directory]
-    found = []
-    for r in directory[max(0, bisect.bisect_left(firsts, key) - 1) : bisect.bisect_right(firsts, key)]:
-        for at, size, _, k in entries_of(read_range(r["index"], r["index_at"], r["index_size"])):
-            if k == key:
-                found.append(parse(read_range(r["archive"], at, size)))
-    return found
+def _schema(payloads: bool) -> str:
+    return ", ".join(f"{n} {t}" for n, t in (_RECORD if payloads else _RECORD[:5]))
+
+
+def lookup(directory: DataFrame, wanted: DataFrame, kind: T.DataType, url_col: str = "url", payloads: bool = False) -> DataFrame:
+    """The records of every capture that has the key of a wanted URL, each once, with the columns of read_archives().
+
+    A key goes to every part whose range of keys holds it; what the driver and the tasks hold of the parts is a row for
+    each. Repeated wanted URLs count once; null ones find the captures without a URL. No archive is read but for what is found.
+    """
+    spark = directory.sparkSession
+    parts = sorted(tuple(r) for r in directory.groupBy("part", "archive", "index", "sparse").agg(F.min("first_key").alias("a"), F.max("last_key").alias("z")).select("a", "z", "part", "archive", "index", "sparse").collect())
+    held = spark.sparkContext.broadcast(parts)  # a row a part
+
+    @F.arrow_udf("array<int>")
+    def parts_of(keys: pa.Array) -> pa.Array:
+        firsts, lasts = [p[0] for p in held.value], [p[1] for p in held.value]
+        return pa.array([list(range(bisect.bisect_left(lasts, k), bisect.bisect_right(firsts, k))) for k in keys.to_pylist()], pa.list_(pa.int32()))
+
+    def find(batches):
+        def records():
+            now, part = -1, None
+            for batch in batches:
+                for n, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if n != now:
+                        now, part = n, Part(*held.value[n][3:])
+                    yield from part.captures(key)
+
+        yield from _batches(records(), payloads)
+
+    keys = wanted.select(url_key(F.col(f"`{url_col}`").cast("string")).alias("key")).distinct()
+    dealt = keys.select(F.explode(parts_of("key")).alias("n"), "key").repartition(max(shuffle_width(spark), len(parts)), "n").sortWithinPartitions("n", "key")
+    return _typed(dealt.mapInArrow(find, _schema(payloads)), kind)
 
 
 def read_archives(directory: DataFrame, kind: T.DataType, payloads: bool = False) -> DataFrame:
     """Every record of the archives: page_id, payload_bytes, payload_digest, record_type, refers_to, and url and payload if asked for."""
-    fields = [T.StructField("page_id", T.StringType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.StringType())]
-    fields += [T.StructField("url", T.StringType()), T.StructField("payload", T.BinaryType())] if payloads else []
-    arrow = pa.schema([(f.name, {"long": pa.int64(), "binary": pa.binary()}.get(f.dataType.typeName(), pa.string())) for f in fields])
 
     def read(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                data = read_range(r["archive"], r["at"], r["size"])
-                rows = []
-                for at, size, _, _ in entries_of(read_range(r["index"], r["index_at"], r["index_size"])):
-                    x = parse(data[at - r["at"] : at - r["at"] + size])
-                    rows.append((x.page_id or None, x.payload_bytes, x.payload_digest, x.record_type, x.refers_to, x.url, x.payload)[: len(fields)])
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+        def records():
+            for batch in batches:
+                for r in batch.to_pylist():
+                    data = memoryview(read_range(r["archive"], r["at"], r["size"]))  # one block, which is bounded in bytes
+                    for at, size, _, _ in entries_of(read_range(r["index"], r["index_at"], r["index_size"])):
+                        yield parse(data[at - r["at"] : at - r["at"] + size])
+
+        yield from _batches(records(), payloads)
 
     width = shuffle_width(directory.sparkSession)
-    got = directory.repartition(width, "part", "block").mapInArrow(read, T.StructType(fields))
-    return got.withColumns({"page_id": F.col("page_id").cast(kind), "refers_to": F.col("refers_to").cast(kind)})
+    return _typed(directory.repartition(width, "part", "block").mapInArrow(read, _schema(payloads)), kind)
+
+
+def lookup_oracle(every: int = 20) -> str:
+    """The captures that share a key with a page whose id is divisible by `every`, in SQL."""
+    return f"""
+    WITH r AS (SELECT page_id, coalesce(html, '') AS h, translate(regexp_replace(coalesce(url, ''), '^[^/?#]*://', ''), '{UPPER}', '{LOWER}') AS rest FROM pages),
+    k AS (SELECT page_id, h, array_to_string(list_reverse(string_split(regexp_extract(rest, '^[^/?#]*'), '.')), ',') || ')' || regexp_replace(rest, '^[^/?#]*', '') AS key FROM r),
+    a AS (SELECT page_id, key, strlen(h)::BIGINT AS payload_bytes, CASE WHEN page_id = max(page_id) OVER (PARTITION BY h) THEN 'response' ELSE 'revisit' END AS record_type,
+                 CASE WHEN page_id <> max(page_id) OVER (PARTITION BY h) THEN max(page_id) OVER (PARTITION BY h) END AS refers_to FROM k)
+    SELECT page_id, payload_bytes, record_type, refers_to FROM a WHERE key IN (SELECT key FROM k WHERE page_id % {every} = 0)"""
