@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import materialize, shuffle_width
+from quillspark.llm.common import materialize, row_of, shuffle_width
 
 HASH_BITS = 60
 LIMIT = 64 << 20
@@ -20,6 +20,11 @@ LIMIT = 64 << 20
 DEAL = 8
 
 
+def drawn() -> Column:
+    """A number from 0 to 1 for each row, by its place in the scan, so that a task that is run again draws the same."""
+    return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)) / (1 << 20)
+
+
 def hash_of(key: Column) -> Column:
     """The first 60 bits of the MD5 of the key as text; null hashes as empty."""
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
@@ -45,7 +50,7 @@ def directory(sizes: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
 
 
 def place(rows: DataFrame, sizes: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """rows(h, bytes, ...) with depth and shard; apart, those of equal hashes above the limit, if any. sizes: (h, bytes) of all rows, stored.
+    """rows(h, bytes, draw, ...) with depth and shard; apart, those of equal hashes above the limit, if any. sizes: (h, bytes) of all rows, stored.
 
     Every row gets its shard by itself, so that repeated ids neither multiply nor need telling apart.
     """
@@ -64,7 +69,7 @@ def place(rows: DataFrame, sizes: DataFrame, limit: int) -> tuple[DataFrame, Dat
     own = Window.partitionBy("h", "_deal").orderBy("bytes")
     # Smallest first: two pages of half the limit never share one, so a page of running total // half holds at most the limit.
     half = max(1, limit // 2)
-    over = placed.where("_deals IS NOT NULL").withColumn("_deal", F.floor(F.rand(7) * F.col("_deals")))
+    over = placed.where("_deals IS NOT NULL").withColumn("_deal", F.floor(F.col("draw") * F.col("_deals")))
     over = over.withColumn("_sum", F.sum("bytes").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_n", F.row_number().over(own))
     page = F.when(F.col("bytes") > half, F.concat(F.lit("r"), "_n")).otherwise(F.floor((F.col("_sum") - F.col("bytes")) / half).cast("string"))
     over = over.withColumn("shard", F.concat("shard", F.lit("+"), "_deal", F.lit("."), page))
@@ -78,36 +83,52 @@ def size_of(text: Column) -> Column:
 def assign(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, bytes (UTF-8, null: 0), depth, shard (the prefix as bits, then the overflow page if any) of every document.
 
-    Every shard holds at most `limit` bytes, unless it is a single row. Repeated ids share a hash; other columns are
-    ignored. Texts are measured where they lie and never shuffled.
+    Every shard holds at most `limit` bytes, unless it is a single row. Repeated ids share a hash, null ids that of the
+    empty one; null and empty texts have no bytes; an empty table gives no rows; other columns are ignored. Texts are
+    measured where they lie and never shuffled.
     """
-    base = materialize(docs.select(F.col(id_col).alias("doc_id"), hash_of(F.col(id_col)).alias("h"), size_of(F.col(text_col)).alias("bytes")), "sizes")
+    key = F.col(f"`{id_col}`")
+    base = materialize(docs.select(key.alias("doc_id"), hash_of(key).alias("h"), size_of(F.col(f"`{text_col}`")).alias("bytes"), drawn().alias("draw")), "sizes")
     plain, over = place(base, base, limit)
     return (plain.unionByName(over) if over else plain).select("doc_id", "bytes", "depth", "shard")
 
 
+def folder_column(schema: T.StructType) -> str:
+    """The name of the folders' column: `shard`, with underscores before it if the documents have such a column."""
+    name = "shard"
+    while name in {f.name.lower() for f in schema.fields}:
+        name = "_" + name
+    return name
+
+
 def write_shards(docs: DataFrame, out_dir: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the documents as Parquet, one folder for each shard; returns what assign() does, from the files read back.
 
-    Every row is written once, with all its columns, whatever its id; shards are as bounded as those of assign(). Texts
-    travel once, by ranges of hashes, and a shard is a run of hashes: a folder has a few files, and no task is larger than its range.
+    Every row is written once, with all its columns, whatever its id and whatever they are called; shards are as bounded
+    as those of assign(). Texts travel once, by ranges of hashes (where the directory is too large to be sent to all
+    tasks, once more to meet it), and a shard is a run of hashes: a folder has a few files, and no task is larger than
+    its range. An empty table writes nothing.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), hash_of(F.col(id_col)).alias("h"), size_of(F.col(text_col)).alias("bytes"))
+    rows = docs.select(row_of(docs).alias("row"), hash_of(F.col(f"`{id_col}`")).alias("h"), size_of(F.col(f"`{text_col}`")).alias("bytes"), drawn().alias("draw"))
     sizes = materialize(rows.select("h", "bytes"), "sizes")
     plain, over = place(rows, sizes, limit)
-    width = max(shuffle_width(spark), math.ceil((sizes.agg(F.sum("bytes")).first()[0] or 0) / limit))
+    total, n = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
+    width = max(shuffle_width(spark), min(n, math.ceil(total / limit)))
     dealt = plain.repartitionById(width, F.shiftright(F.shiftright("h", HASH_BITS - 24) * F.lit(width).cast("long"), 24).cast("int"))
     dealt = dealt.unionByName(over) if over else dealt
-    dealt.select("row.*", "shard").write.partitionBy("shard").parquet(out_dir)
-    again = read_shards(spark, out_dir, docs.schema)
-    return again.select(F.col(id_col).alias("doc_id"), size_of(F.col(text_col)).alias("bytes"), F.length(F.substring_index("shard", "+", 1)).alias("depth"), "shard")
+    name = folder_column(docs.schema)
+    # A letter before the bits: an empty name would be the folder of nulls, and one of digits a number.
+    dealt.select("row.*", F.concat(F.lit("s"), "shard").alias(name)).write.partitionBy(name).parquet(out_dir)
+    again, shard = read_shards(spark, out_dir, docs.schema), F.col(f"`{name}`")
+    return again.select(F.col(f"`{id_col}`").alias("doc_id"), size_of(F.col(f"`{text_col}`")).alias("bytes"), F.length(F.substring_index(shard, "+", 1)).alias("depth"), shard.alias("shard"))
 
 
 def read_shards(spark: SparkSession, out_dir: str, schema: T.StructType) -> DataFrame:
-    """The rows of write_shards() and their shard; schema is that of the documents. Without it Spark would take shards for numbers."""
-    again = spark.read.schema(T.StructType([*schema.fields, T.StructField("shard", T.StringType())])).parquet(out_dir)
-    return again.withColumn("shard", F.coalesce("shard", F.lit("")))
+    """The rows of write_shards() and their shard, in folder_column(schema); schema is that of the documents."""
+    name = folder_column(schema)
+    again = spark.read.schema(T.StructType([*schema.fields, T.StructField(name, T.StringType())])).parquet(out_dir)
+    return again.withColumn(name, F.substr(F.col(f"`{name}`"), F.lit(2)))
 
 
 def oracle(limit: int = LIMIT) -> str:

@@ -78,6 +78,20 @@ def test_written_once_with_repeated_and_null_ids(spark, tmp_path, limit):
     assert write_shards(docs.limit(0), str(tmp_path / "none"), limit).collect() == []
 
 
+def test_names_clashing_columns_and_a_long_text(spark, tmp_path):
+    rows = [(i, "x" * (3_000_000 if i == 7 else 10), "000", f"r{i}") for i in range(40)] + [(None, "", "1", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Shard string, row string")
+    for limit in (200, 1 << 30):
+        out = str(tmp_path / f"s{limit}")
+        placed = write_shards(docs, out, limit)
+        again = read_shards(spark, out, docs.schema)
+        assert again.columns == [*docs.columns, "_shard"]
+        assert sorted(map(str, again.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+        assert {r["_shard"] for r in again.collect()} == {r.shard for r in placed.collect()} == {r.shard for r in assign(docs, limit).collect()}
+        folders = {f for f in os.listdir(out) if "=" in f}
+        assert all(f.startswith("_shard=s") for f in folders) and len(folders) == placed.select("shard").distinct().count()
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the generated tables are elsewhere")
 def test_query_reads_written_shards(spark):
     sf = "/root/testdata/sf0.001"
