@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import materialize, slices
+from quillspark.llm.common import materialize, shuffle_width, slices
 from quillspark.llm.words import encoder
 
 CAPACITY = 4096
-#: Pieces of one length that one task ranks.
-RANKED = 100_000
+#: A length held by more than this share of a task's usual pieces is ranked in several groups; few pieces are never split.
+SHARE, LEAST = 0.25, 64
 
 
 class _Open:
@@ -182,19 +182,23 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int | None = 1, capacity:
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(cut, T.StructType(fields))
 
 
-def place(pieces: DataFrame, capacity: int = CAPACITY, ranked: int = RANKED) -> DataFrame:
+def place(pieces: DataFrame, capacity: int = CAPACITY, ranked: int | None = None) -> DataFrame:
     """Adds sequence_id and offset to pieces with a length; offsets have no gaps. Read more than once: materialise it first.
 
-    Pieces of one length are ranked in salted groups of about `ranked`, so that a length held by most of the rows
-    is no single task; the order among equal lengths has no effect on the number of sequences.
+    Pieces of one length are ranked in salted groups of about `ranked` (SHARE of what a task has of all pieces), so that
+    a length held by most of the rows is no single task; the order among equal lengths has no effect on the number of
+    sequences.
     """
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
     bins = reduce_and_fit(counts, capacity)
     runs = spark.sparkContext.broadcast(runs_of(bins))  # bounded by the lengths there are
-    salts = max(1, -(-max(counts.values(), default=1) // ranked))
+    ranked = ranked or max(LEAST, int(SHARE * sum(counts.values()) / shuffle_width(spark)))
     columns = [c for c in pieces.columns]
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*columns), F.lit(salts)))
+    # Few lengths have several groups: at most the number of tasks divided by SHARE.
+    groups = spark.createDataFrame([(n, -(-c // ranked)) for n, c in counts.items() if c > ranked], "_of long, _salts long")
+    salted = pieces.join(F.broadcast(groups), F.col("length") == F.col("_of"), "left")
+    salted = salted.withColumn("_salt", F.pmod(F.xxhash64(*columns), F.coalesce("_salts", F.lit(1)))).drop("_of", "_salts")
     before = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = before.select("length", "_salt", (F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
     own = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*[F.col(c) for c in columns if c != "length"]))
