@@ -115,16 +115,18 @@ class TokenFileReader:
 def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Encode every text and write the ids in ascending id order; returns the manifest: part, path, n_docs, n_tokens, base.
 
-    Texts are dealt out once, by ranges of ids whose boundaries come from a sample of the ids. A task encodes its
+    Texts are dealt out once, by ranges of ids and, within an id, of hashes of the text and of places in the scan, so
+    that rows of one id, even wholly equal ones, are no single task; the borders come from a sample. A task encodes its
     sorted range as it streams by and writes one file; a repeated task writes a file of its own and only the file
-    named in the manifest counts. Null texts have the end id only; null ids come first; repeated ids stay next to
-    each other, ordered by their texts; other columns are ignored.
+    named in the manifest counts. Null and empty texts have the end id only; null ids come first; repeated ids stay next
+    to each other, ordered by the XXH64 of their texts; an empty table writes no file; other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").alias("k"), text.alias("t"), F.xxhash64(text).alias("h"), F.xxhash64(F.monotonically_increasing_id()).alias("d"))
     tail = [] if end_id is None else [end_id]
     parts = max(shuffle_width(spark), docs.rdd.getNumPartitions())
-    ordered = rows.repartitionByRange(parts, "k").sortWithinPartitions("k", "t")
+    ordered = rows.repartitionByRange(parts, "k", "h", "d").sortWithinPartitions("k", "h").select("k", "t")
 
     def write(batches):
         enc, files, path = encoder(tokenizer), None, ""

@@ -88,3 +88,19 @@ def test_empty_table_and_nulls(spark, tmp_path):
     manifest = write_token_files(nulls, str(tmp_path / "n"), PATH)
     got = read_token_files(manifest, nulls.schema["doc_id"].dataType, digest_only=False).orderBy("start").collect()
     assert [(r.doc_id, r.start, r.ids) for r in got] == [(None, 0, [2]), (1, 1, [2])]
+
+
+def test_one_id_on_most_rows(spark, tmp_path):
+    """Rows of one id, equal ones among them, are spread over files and keep their order."""
+    import xxhash
+
+    rows = [(5, f"text {i % 7} of many") for i in range(400)] + [(i, "other") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    manifest = write_token_files(docs, str(tmp_path / "h"), PATH)
+    assert max(r.n_docs for r in manifest.collect()) < 400
+    got = [(r.doc_id, r.start, r.ids) for r in read_token_files(manifest, docs.schema["doc_id"].dataType, digest_only=False).orderBy("start").collect()]
+    want, start = [], 0
+    for k, t in sorted(rows, key=lambda r: (r[0], np.uint64(xxhash.xxh64_intdigest(r[1].encode(), 42)).astype(np.int64))):
+        want.append((k, start, brute(t) + [2]))
+        start += len(want[-1][2])
+    assert got == want
