@@ -1,9 +1,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
+import xxhash
 
-from quillspark.llm.spotsigs import chained, likeness, name_of, near_pairs, signatures, spots
+from quillspark.llm.spotsigs import chained, fingerprint_of, likenesses, partition_of, spots, spots_of
 
 TEXTS = [None, "", "the", "no anchors here really", "The quick brown fox and the lazy dog of doom runs", "É é", "🎈" * 7, "the word other " * 4000, "a b c d"]
 
@@ -28,29 +30,72 @@ def plain(text):
 def test_signatures_and_likeness():
     rng = random.Random(1)
     texts = [t for t in TEXTS if t is not None and len(t) < 1000] + [" ".join(rng.choice(["the", "of", "cat", "Dog,", "bird", "fish!"]) for _ in range(rng.randint(0, 40))) for _ in range(60)]
-    for a in texts:
-        assert len(spots(a)) == len(plain(a))
-        for b in texts[::7]:
-            x, y = plain(a), plain(b)
-            want = len(x & y) / len(x | y)
-            assert likeness(spots(a), spots(b)) == pytest.approx(want)
-            assert likeness(spots(a), spots(b), 0.5) == pytest.approx(want if want >= 0.5 else 0) or likeness(spots(a), spots(b), 0.5) < 0.5
+    pairs = [(a, b) for a in texts for b in texts[::7]]
+    sets = [(plain(a), plain(b)) for a, b in pairs]
+    want = [len(x & y) / len(x | y) for x, y in sets]
+    assert all(len(spots(a)) == len(plain(a)) for a in texts)
+    made = [(spots(a), spots(b)) for a, b in pairs]
+    assert likenesses(made, every=True)[0].tolist() == pytest.approx(want)
+    for least in (0.3, 0.5, 0.8, 1.0 - 1e-9):
+        value, near = likenesses(made, least)
+        assert near.tolist() == [w >= least - 1e-9 for w in want]
+        assert value.tolist() == pytest.approx([w if n else 0 for w, n in zip(want, near, strict=True)])
+    assert likenesses([])[0].tolist() == []
+
+
+def test_fingerprints_hold_their_sets():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 500):
+        found = np.unique(rng.integers(0, 1 << 48, n, dtype=np.uint64))
+        text = fingerprint_of(found)
+        assert len(text) == 8 * len(found) and spots_of(text).tolist() == found.tolist()
+    assert partition_of(np.array([1, 10, 12, 13, 100])).tolist() == [0, 10, 11, 11, 20]
+
+
+def jaccard(a, b):
+    x, y = set(spots(a).tolist()), set(spots(b).tolist())
+    return len(x & y) / len(x | y)
+
+
+def chain_of(rows):
+    """The query, by sorting all documents."""
+    line = sorted(((i, t or "") for i, t, *_ in rows), key=lambda r: (r[0] is not None, r[0], np.uint64(xxhash.xxh64_intdigest(r[1].encode(), 42)).astype(np.int64)), reverse=True)
+    out = []
+    for (i, t), (_, o) in zip(line, line[1:] + line[:1], strict=True):
+        h = len(t) // 2
+        e = t[: len(t) - h] + o[:h]
+        out.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), fingerprint_of(spots(t)), fingerprint_of(spots(e)), jaccard(t, e), jaccard(t, o), len(spots(t))))
+    return out
 
 
 @pytest.mark.parametrize("parts", [1, 5])
 def test_chain_of_documents(spark, parts):
     rng = random.Random(2)
     rows = [(i * 13 % 101, t, "x") for i, t in enumerate(TEXTS + [" ".join(rng.choice(["the", "of", "cat", "dog", "bird"]) for _ in range(50)) for _ in range(30)])]
-    rows += [(7000, "same id one", "y"), (7000, "same id one", "y"), (7000, None, "y"), (None, "the last of all words", "z")]
+    rows += [(7000, "same id one", "y"), (7000, "same id one", "y"), (7000, None, "y"), (None, "the last of all words", "z"), (None, "another", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string").repartition(parts)
-    line = sorted(((i, t or "") for i, t, _ in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1].encode()))
-    want = []
-    for (i, t), (_, o) in zip(line, line[1:] + line[:1], strict=True):
-        h = len(t) // 2
-        e = t[: len(t) - h] + o[:h]
-        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), name_of(spots(t)), name_of(spots(e)), likeness(spots(t), spots(e)), likeness(spots(t), spots(o))))
     key = lambda r: tuple((x is None, x) for x in r)
-    assert sorted((tuple(r) for r in chained(docs).collect()), key=key) == sorted(want, key=key)
+    got = sorted((tuple(r) for r in chained(docs).collect()), key=key)
+    assert got == sorted(chain_of(rows), key=key)
+    for r in got:
+        a, b = (set(spots_of(f).tolist()) for f in r[3:5])
+        assert r[5] == len(a & b) / len(a | b)  # recomputed from the columns alone
+
+
+def test_one_id_on_most_rows(spark):
+    rng = random.Random(9)
+    rows = [(5 if i % 3 else i, " ".join(rng.choice(["the", "of", "cat", "dog", "bird", "fish"]) for _ in range(30)), "a") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, t string").repartition(6)
+    got = chained(docs)
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted((tuple(r) for r in got.collect()), key=key) == sorted(chain_of(rows), key=key)
+    assert max(got.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()) < 300
+
+
+def test_ids_of_other_types(spark):
+    rows = [(c, f"text of {c} the word after word") for c in ["b", "a", "", "é", "Z", None, "漢"]]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    assert sorted(map(str, map(tuple, chained(docs).collect()))) == sorted(map(str, chain_of(rows)))
 
 
 def test_one_document_and_none(spark):
@@ -59,16 +104,3 @@ def test_one_document_and_none(spark):
     assert [(x.doc_id, x.near_next) for x in r] == [(5, 1.0)]
     assert r[0].edited_sha256 == hashlib.sha256(b"abcabc").hexdigest()
     assert chained(docs.limit(0)).collect() == []
-
-
-def test_pairs_against_all(spark):
-    rng = random.Random(3)
-    words = [f"word{i}" for i in range(60)]
-    base = [[rng.choice(["the", "of"]) if k % 3 == 0 else rng.choice(words) for k in range(rng.choice([12, 60, 200]))] for _ in range(25)]
-    rows = [" ".join(b) for b in base] + [" ".join(w if rng.random() > 0.02 else "odd" for w in b) for b in base for _ in range(3)] + ["", "", "lonely words"]
-    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    got = {(r.a, r.b): r.likeness for r in near_pairs(signatures(docs)).collect()}
-    sets = {name_of(spots(t)): spots(t) for t in rows}
-    want = {tuple(sorted((a, b))): likeness(sets[a], sets[b]) for a in sets for b in sets if a < b and likeness(sets[a], sets[b]) >= 0.8}
-    assert got == pytest.approx(want) and len(want) > 20
-    assert near_pairs(signatures(docs.limit(0))).collect() == []
