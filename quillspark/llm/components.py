@@ -14,15 +14,16 @@ def _centre(edges: DataFrame, of: str) -> DataFrame:
     return edges.join(least, "u")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """links(a, b) of one orderable type to (node, root): root is the least node reachable; only nodes with a link to another.
 
     Each round is written to the shared folder. A node with very many links is the centre of a star after the first
-    round: its least neighbour is found with partial aggregation, and the join that follows is one that Spark splits.
+    round: its least neighbour is found with partial aggregation, and the join that follows is one that Spark splits. Rounds go on
+    until one changes nothing, about the logarithm of the longest path squared at most. Null nodes have no links.
     """
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     mark = None
-    for _ in range(rounds):
+    while not edges.isEmpty():
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _centre(both, "large").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.where("u <> v").distinct()
@@ -32,6 +33,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         discard(last)
         seen = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            break
         mark = seen
-    raise RuntimeError(f"no components after {rounds} rounds")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

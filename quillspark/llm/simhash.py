@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, shuffle_width, slices
+from quillspark.llm.common import materialize, row_of, shuffle_width, slices
 from quillspark.llm.components import components
 
 BITS, NEAR, SHINGLE, SEED = 64, 3, 3, 42
@@ -85,8 +85,8 @@ def signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def links_within(group: np.ndarray, fp: np.ndarray, near: int = NEAR) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of positions that span the links within each group; group is sorted, fp is unsigned."""
+def links_within(group: np.ndarray, fp: np.ndarray, near: int = NEAR, tally: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions that span the links within each group; group is sorted, fp is unsigned. tally: pairs offered, left by the pivots, linked."""
     n = len(fp)
     table = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int8)
 
@@ -95,7 +95,10 @@ def links_within(group: np.ndarray, fp: np.ndarray, near: int = NEAR) -> tuple[n
         left = np.arange(len(i))
         for p in range(table.shape[1]):
             left = left[np.abs(table[i[left], p] - table[j[left], p]) <= near]
-        return left[np.bitwise_count(fp[i[left]] ^ fp[j[left]]) <= near]
+        hit = left[np.bitwise_count(fp[i[left]] ^ fp[j[left]]) <= near]
+        if tally is not None:
+            tally[:] = tally[0] + len(i), tally[1] + len(left), tally[2] + len(hit)
+        return hit
 
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if n else np.array([], np.int64)
     size = np.diff(np.concatenate([first, [n]]))
@@ -128,25 +131,29 @@ def links_within(group: np.ndarray, fp: np.ndarray, near: int = NEAR) -> tuple[n
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def links(prints: DataFrame, distinct: int, near: int = NEAR, file: int = FILE) -> DataFrame:
-    """Links (a, b) that span all pairs of the distinct values fp within near bits."""
+def links(prints: DataFrame, distinct: int, near: int = NEAR, file: int = FILE, figures: dict | None = None) -> DataFrame:
+    """Links (a, b) that span all pairs of the distinct values fp within near bits.
+
+    figures: accumulators `offered`, `left` and `linked` that the search adds its pairs to; a repeated task adds again.
+    """
     if file < 1 << near + 1:
         raise ValueError(f"a file has to hold at least {1 << near + 1} fingerprints")
-    level, depth, cells = masks(distinct, near), 0, None
-    filed = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(len(level) - 1))).alias("t"))
+    spark, cells = prints.sparkSession, None
+    filed = prints.select("fp", F.explode(F.array(*[F.lit(signed(m)) for m in masks(distinct, near)])).alias("mask"))
     while True:
-        keyed = filed.withColumn("key", F.col("fp").bitwiseAND(F.element_at(F.array(*[F.lit(signed(m)) for m in level]), F.col("t") + 1)))
-        sizes = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        small = keyed.join(sizes.where(F.col("n") <= file), ["t", "key"], "left_semi").select(F.lit(depth).alias("depth"), "t", "key", "fp")
+        keyed = filed.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+        sizes = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        small = keyed.join(sizes.where(F.col("n") <= file), ["mask", "key"], "left_semi").select("mask", "key", "fp")
         cells = small if cells is None else cells.unionByName(small)
-        large = materialize(sizes.where(F.col("n") > file).select("t", "key"), "large")
-        if large.isEmpty():
+        large = materialize(sizes.where(F.col("n") > file).select("mask", "key"), "large")
+        split = [r["mask"] for r in large.select("mask").distinct().collect()]  # masks of this level with a large file: a few longs
+        if not split:
             break
-        again = materialize(keyed.join(large, ["t", "key"], "left_semi").select("fp", "t"), "refiled")
-        filed = again.select("fp", F.explode(F.sequence(F.col("t") * (near + 1), F.col("t") * (near + 1) + near)).alias("t"))
-        level, depth = [m | q for m in level for q in quarters(m, near)], depth + 1
-    keys = ["depth", "t", "key"]
-    ordered = cells.repartition(shuffle_width(prints.sparkSession), *keys).sortWithinPartitions(*keys)
+        again = materialize(keyed.join(large, ["mask", "key"], "left_semi").select("fp", "mask"), "refiled")
+        finer = spark.createDataFrame([(m, [signed(m % (1 << BITS) | q) for q in quarters(m % (1 << BITS), near)]) for m in split], "mask long, finer array<long>")
+        filed = again.join(finer, "mask").select("fp", F.explode("finer").alias("mask")).distinct()  # two masks may meet in one
+    keys = ["mask", "key"]
+    ordered = cells.repartition(shuffle_width(spark), *keys).sortWithinPartitions(*keys)
 
     def search(batches):
         held = None
@@ -154,7 +161,7 @@ def links(prints: DataFrame, distinct: int, near: int = NEAR, file: int = FILE)
             columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             held = columns if held is None else [np.concatenate(c) for c in zip(held, columns, strict=True)]
             same = np.ones(len(held[0]), bool)
-            for c in held[:3]:
+            for c in held[:2]:
                 same &= c == c[-1:]
             cut = int(np.flatnonzero(~same)[-1]) + 1 if len(same) and not same.all() else 0
             if cut:  # the last group may go on in the next batch
@@ -165,23 +172,26 @@ def links(prints: DataFrame, distinct: int, near: int = NEAR, file: int = FILE)
 
     def found(columns):
         new = np.zeros(len(columns[0]), bool)
-        for c in columns[:3]:
+        for c in columns[:2]:
             new[1:] |= c[1:] != c[:-1]
-        i, j = links_within(np.cumsum(new), columns[3].astype(np.int64).view(np.uint64), near)
-        return pa.RecordBatch.from_arrays([pa.array(columns[3][i], pa.int64()), pa.array(columns[3][j], pa.int64())], ["a", "b"])
+        tally = [0, 0, 0]
+        i, j = links_within(np.cumsum(new), columns[2].astype(np.int64).view(np.uint64), near, tally)
+        for name, n in zip(("offered", "left", "linked") if figures else (), tally, strict=False):
+            figures[name].add(n)
+        return pa.RecordBatch.from_arrays([pa.array(columns[2][i], pa.int64()), pa.array(columns[2][j], pa.int64())], ["a", "b"])
 
     return ordered.mapInArrow(search, "a long, b long")
 
 
-def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR) -> DataFrame:
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR, figures: dict | None = None) -> DataFrame:
     """doc_id, text_hash, fp, root (the least fingerprint reachable, as a long) and component_id of every document.
 
     component_id is the smallest id of the component (null if it has none). Null and empty texts have fingerprint 0;
     repeated rows are returned each; other columns are ignored. Exact copies are one fingerprint before any search.
     """
-    own = materialize(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), fingerprint(F.col(text_col)).alias("fp")), "prints")
+    own = materialize(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(f"`{text_col}`").alias("text_hash"), fingerprint(F.col(f"`{text_col}`")).alias("fp")), "prints")
     distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct, distinct.count(), near)).withColumnRenamed("node", "fp")
+    roots = components(links(distinct, distinct.count(), near, figures=figures)).withColumnRenamed("node", "fp")
     named = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     whole = materialize(named.join(least, "root").select("fp", "root", "component_id"), "classes")
@@ -193,15 +203,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return grouped(docs, id_col, text_col, near).select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def pivot_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR) -> dict[str, int]:
+    """How many pairs the files offer, how many of them the pivots leave, and how many of those link."""
+    context = docs.sparkSession.sparkContext
+    figures = {n: context.accumulator(0) for n in ("offered", "left", "linked")}
+    grouped(docs, id_col, text_col, near, figures).count()
+    return {n: a.value for n, a in figures.items()}
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR) -> DataFrame:
-    """One document of each component, with its columns: that with the smallest id, nulls last, then the smallest text hash; of wholly repeated rows one."""
+    """One document of each component, with its columns: that with the smallest id, nulls last, then the smallest text hash.
+
+    Of rows that repeat id and text, the one whose columns come first as JSON. The documents that go are the smaller
+    side of a join with all rows; an empty table stays empty; columns may have any names.
+    """
     every = materialize(grouped(docs, id_col, text_col, near), "grouped")
-    chosen = every.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))).alias("c")).select(F.col("c.doc_id").alias("_i"), F.col("c.text_hash").alias("_h"))
-    chosen = materialize(chosen, "chosen")
-    hashed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"))
-    same = hashed["_id"].eqNullSafe(chosen["_i"]) & (hashed["_hash"] == chosen["_h"])
-    kept = hashed.join(chosen, same, "left_semi")
-    rows = every.join(chosen, every["doc_id"].eqNullSafe(chosen["_i"]) & (every["text_hash"] == chosen["_h"]), "left_semi").count()
-    if rows > chosen.count():  # repeated rows
-        kept = kept.dropDuplicates(["_id", "_hash"])
-    return kept.select("row.*")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))).alias("c")
+    several = every.groupBy("root").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.col("c.doc_id").alias("i"), F.col("c.text_hash").alias("h"))
+    chosen = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h"))
+    marked = every.join(several, "root").groupBy(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).agg(F.bool_or(chosen).alias("stays"), F.count(F.lit(1)).alias("n"))
+    marked = materialize(marked.where("NOT stays OR n > 1"), "marked")
+    hashed = docs.select(row_of(docs).alias("row"), F.col(f"`{id_col}`").alias("_id"), F.xxhash64(f"`{text_col}`").alias("_hash"))
+    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))
+    kept = hashed.join(marked, same, "left_anti").select("row.*")
+    repeated = marked.where("stays")
+    if repeated.isEmpty():
+        return kept
+    one = hashed.join(repeated, same, "left_semi").groupBy("_id", "_hash").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return kept.unionByName(one.select("row.*"))

@@ -129,3 +129,21 @@ def test_documents(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x)) == sorted(least.values(), key=lambda x: (x is None, x))
     assert near_duplicates(docs.limit(0)).collect() == [] == keep_one(docs.limit(0)).collect()
     assert simhash.FILE > simhash.FEW
+
+
+def test_kept_rows_do_not_depend_on_the_partitioning(spark):
+    """Rows that repeat id and text but differ elsewhere, under columns with the names of what is in between."""
+    rows = [(1, "one two three four five", f"v{i}", "r") for i in range(5)] + [(2, "one two three four five", "w", "r"), (3, None, "a", "r"), (3, None, "a", "r"), (None, "x y", "q", "r"), (None, "x y", "p", "r"), (9, "alone", "z", "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, `row` string")
+    for parts in (1, 4):
+        got = sorted(map(str, keep_one(docs.repartition(parts)).collect()))
+        assert got == sorted(map(str, spark.createDataFrame([rows[0], rows[6], rows[9], rows[10]], docs.schema).collect()))
+
+
+def test_pivots_discard_pairs(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(50)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(40))) for i in range(300)], "doc_id long, text string")
+    found = simhash.pivot_figures(docs)
+    assert found["offered"] > 0 and found["linked"] <= found["left"] <= found["offered"]
+    assert simhash.pivot_figures(docs.limit(0)) == {"offered": 0, "left": 0, "linked": 0}
