@@ -1,8 +1,9 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 The network is trained in numpy, by backpropagation through time, on passages of a bounded sample of labelled documents.
-It reads a text in stretches of STRETCH bytes, each from both ends, labels every byte of it with language
-probabilities, and a document's probabilities are the mean over its bytes. Gates are the piecewise linear forms of the
+It reads a text in stretches of STRETCH bytes, never cut within a code point, each together with HALO bytes of context on
+both sides and from both ends; it labels every byte of the stretch with language probabilities, and a document's
+probabilities are the mean over its bytes. Gates are the piecewise linear forms of the
 sigmoid and the hyperbolic tangent, which numpy computes several times as fast.
 """
 
@@ -11,11 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import slices
+from quillspark.llm.common import row_of, slices
 
-STRETCH, HIDDEN = 64, 8
-#: Bounds of the training sample: documents of each language, and characters of the passage taken from each.
-PER_LANG, PASSAGE = 300, 640
+STRETCH, HALO, HIDDEN = 64, 16, 8
+#: Bytes that are read at once: a stretch and its context, each border moved by up to three bytes to where a code point begins.
+WIDTH = STRETCH + 2 * HALO + 6
+#: Bounds of the training sample: languages (those with the most documents), documents of each, and characters of the passage taken from each.
+LANGS, PER_LANG, PASSAGE = 200, 300, 640
 STEPS, BATCH, RATE, SEED = 200, 128, 0.02, 7
 #: Stretches that are read side by side.
 SIDE = 4096
@@ -149,68 +152,82 @@ class Network:
     def pooled(self, texts: list[bytes], side: int = SIDE) -> np.ndarray:
         """Mean probabilities [text, language] over all bytes of each text; zeros for an empty one."""
         sizes = np.array([len(t) for t in texts], np.int64)
-        pieces = -(-sizes // STRETCH)
-        total = int(pieces.sum())
-        data = np.zeros(total * STRETCH, np.uint8)
-        starts = np.concatenate([[0], np.cumsum(pieces)])
-        for t, s in zip(texts, starts, strict=False):
-            data[s * STRETCH : s * STRETCH + len(t)] = np.frombuffer(t, np.uint8)
-        of = np.repeat(np.arange(len(texts)), pieces)
-        held = np.full(total, STRETCH, np.int64)
-        ends = starts[1:][pieces > 0] - 1
-        held[ends] = sizes[pieces > 0] - (pieces[pieces > 0] - 1) * STRETCH
-        data, k = data.reshape(total, STRETCH), len(self.langs)
-        out = np.zeros((len(texts), k))
-        for at in range(0, total, side):
-            block = slice(at, at + side)
-            prob = self.positions(np.ascontiguousarray(data[block].T))
-            short = held[block] < STRETCH
-            if short.any():
-                prob[:, np.arange(STRETCH)[:, None] >= held[block][None, :]] = 0
+        cut = Windows(texts)
+        out = np.zeros((len(texts), len(self.langs)))
+        for at in range(0, len(cut), side):
+            x, mask, of = cut.rows(slice(at, at + side))
+            prob = self.positions(np.ascontiguousarray(x.T))
+            prob *= mask.T
             each = prob.sum(1)
-            for j in range(k):
-                out[:, j] += np.bincount(of[block], each[j], len(texts))
+            for j in range(len(self.langs)):
+                out[:, j] += np.bincount(of, each[j], len(texts))
         return out / np.maximum(sizes, 1)[:, None]
 
 
+class Windows:
+    """The stretches of texts in UTF-8, with their context."""
+
+    def __init__(self, texts: list[bytes]):
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.data = np.frombuffer(b"".join(texts) + b"\0\0\0\0", np.uint8)
+        self.inside = (self.data & 0xC0) == 0x80
+        begins = np.concatenate([[0], np.cumsum(sizes)])
+        pieces = -(-sizes // STRETCH)
+        of = np.repeat(np.arange(len(texts)), pieces)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        low, high = begins[of], begins[of + 1]
+        start = np.minimum(self.snapped(low + nth * STRETCH), high)
+        end = np.minimum(self.snapped(np.minimum(low + (nth + 1) * STRETCH, high)), high)
+        some = start < end
+        self.of, self.start, self.end = of[some], start[some], end[some]
+        self.first = self.snapped(np.maximum(self.start - HALO, low[some]))
+        self.last = np.minimum(self.snapped(np.minimum(self.end + HALO, high[some])), high[some])
+
+    def __len__(self) -> int:
+        return len(self.of)
+
+    def snapped(self, at: np.ndarray) -> np.ndarray:
+        """Where the code point at or after each place begins."""
+        for _ in range(3):
+            at = at + self.inside[at]
+        return at
+
+    def rows(self, part: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes [window, WIDTH] with zeros at the end, mask of the stretch itself, and the text of each window."""
+        at = self.first[part, None] + np.arange(WIDTH)
+        x = np.where(at < self.last[part, None], self.data[np.minimum(at, len(self.data) - 1)], 0)
+        return x, (at >= self.start[part, None]) & (at < self.end[part, None]), self.of[part]
+
+
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
 def stretches(passages: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes [stretch, time], mask, and the passage of each stretch."""
-    rows, of = [], []
-    for i, t in enumerate(passages):
-        b = t.encode()
-        for at in range(0, len(b), STRETCH):
-            rows.append(b[at : at + STRETCH])
-            of.append(i)
-    x = np.zeros((len(rows), STRETCH), np.uint8)
-    mask = np.zeros((len(rows), STRETCH), bool)
-    for i, r in enumerate(rows):
-        x[i, : len(r)] = np.frombuffer(r, np.uint8)
-        mask[i, : len(r)] = True
-    return x, mask, np.array(of, np.int64)
+    """Bytes [window, WIDTH], mask of the stretches themselves, and the passage of each."""
+    return Windows([t.encode() for t in passages]).rows(slice(None))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_passages(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = PER_LANG, passage: int = PASSAGE) -> list[tuple[str, str]]:
+def training_passages(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = PER_LANG, passage: int = PASSAGE, most: int = LANGS) -> list[tuple[str, str]]:
     """(language, passage) of at most per_lang distinct labelled documents of each language, drawn by hash; null ids are never drawn.
 
     The rate of a language follows its usable documents: those whose passage has a letter, repeated rows counted once.
+    Where there are more than `most` languages, those with the most usable documents are learned.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).alias("lang"))
     start = F.lit(1) + F.pmod(F.shiftright("h", 20), F.greatest(F.lit(1), F.length("t") - passage + 1)).cast("int")
     hashed = rows.withColumn("h", F.xxhash64(F.lit(SEED), "i", "t")).select("lang", "h", F.substring("t", start, F.lit(passage)).alias("p"))
     usable = hashed.where(F.regexp_like("p", F.lit(r"\p{L}")))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
-    if not counts:
+    known = usable.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()
+    if not known:
         return []
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, 3 * per_lang / n))) for lang, n in sorted(counts.items())])
-    drawn = usable.where(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003).groupBy("lang", "h").agg(F.min("p").alias("p")).collect()  # repeated rows count once
+    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 3 * per_lang / r["n"])) for r in known], "lang string, rate double")
+    drawn = usable.join(F.broadcast(rates), "lang").where(F.pmod("h", F.lit(1_000_003)) < F.col("rate") * 1_000_003)  # at most `most` rows are sent
+    drawn = drawn.groupBy("lang", "h").agg(F.min("p").alias("p")).collect()  # repeated rows count once
     found: dict[str, list] = {}
     for r in sorted(drawn, key=lambda r: (r["lang"], r["h"])):
         if has_letter(r["p"]) and len(found.setdefault(r["lang"], [])) < per_lang:
@@ -252,16 +269,25 @@ def predict(net: Network | None, text: Column) -> Column:
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", net: Network | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every document; trains on docs unless a network is given. No shuffle of texts."""
+    """doc_id, held_out, lang_pred and score of every document; trains on docs unless a network is given. No shuffle of texts.
+
+    Null and empty texts and those without a letter are `und` with score 0, and so is everything where no text is
+    labelled; repeated rows are labelled each; null ids are never held out nor learned from; ties go to the language that
+    comes first; an empty table gives no rows; other columns are ignored.
+    """
     net = net or fit(docs, id_col, text_col, lang_col)
-    got = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), predict(net, F.col(text_col)).alias("_l"))
+    got = docs.select(F.col(f"`{id_col}`").alias("doc_id"), held_out(id_col).alias("held_out"), predict(net, F.col(f"`{text_col}`")).alias("_l"))
     return got.select("doc_id", "held_out", F.col("_l.lang").alias("lang_pred"), "_l.score")
 
 
 def keep_known(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents whose language is known with a probability of at least `least`, with their columns. Without labelled text all with a letter stay."""
+    """The documents whose language is known with a probability of at least `least`, with their columns, whatever these are called.
+
+    Null and empty texts and those without a letter go; without labelled text all with a letter stay; repeated rows are
+    judged each; an empty table stays empty.
+    """
     net = fit(docs, id_col, text_col, lang_col)
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), predict(net, F.col(text_col)).alias("l"))
+    held = docs.select(row_of(docs).alias("row"), predict(net, F.col(text_col)).alias("l"))
     if net is None:
         return docs.where(F.coalesce(F.regexp_like(F.col(text_col), F.lit(r"\p{L}")), F.lit(False)))
     return held.where((F.col("l.lang") != UNKNOWN) & (F.col("l.score") >= least)).select("row.*")
