@@ -192,7 +192,10 @@ class Codec:
         self.held = held
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}  # with a space before them
-        self.bytes_of = [self.replay.token.get(i, b"") for i in range(max(self.replay.token) + 1)]
+        tokens = [self.replay.token.get(i, b"") for i in range(max(self.replay.token) + 1)]
+        #: The bytes of all tokens after one another, and where each token's begin.
+        self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.starts = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
 
     def _learn_words(self, need: set) -> None:
         missing = need.difference(self.words)
@@ -240,7 +243,11 @@ class Codec:
         return [feed.join([head(line[0]) + b"".join(map(chunk, line[1:])) for line in c]) if type(c) is list else b"".join(map(word, c)) for c in cut]
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """The bytes of little-endian unsigned 32-bit ids: one gather from the bytes of all tokens; an unknown id within the vocabulary's range has none."""
+        at = np.frombuffer(ids, "<u4")
+        first, sizes = self.starts[at], self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(sizes)
+        return self.token_bytes[np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
 
 
 @functools.lru_cache(maxsize=2)
@@ -285,12 +292,16 @@ def decode(tokens: DataFrame, ranks: str, pattern: str, ids_col: str = "ids", ou
     @F.arrow_udf("binary")
     def bytes_of(column: pa.Array) -> pa.Array:
         c = codec(ranks, pattern)
-        return pa.array([b"".join(map(c.bytes_of.__getitem__, ids or ())) for ids in column.to_pylist()], pa.binary())
+        return pa.array([c.decode(np.array(ids or (), "<u4").tobytes()) for ids in column.to_pylist()], pa.binary())
 
     return tokens.withColumn(out, bytes_of(F.col(ids_col)))
 
 
 def digests(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; no shuffle."""
-    both = docs.select(F.col(id_col), round_trip(F.col(text_col), ranks, pattern).alias("_b"))
-    return both.select(id_col, (F.octet_length("_b.ids") / 4).cast("long").alias("n_tokens"), F.sha2("_b.ids", 256).alias("ids_sha256"), F.sha2("_b.decoded", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; no shuffle.
+
+    Null and empty texts have no tokens and the digests of nothing; repeated rows and null ids are kept each; an empty
+    table gives no rows; other columns are ignored.
+    """
+    both = docs.select(F.col(f"`{id_col}`").alias("_id"), round_trip(F.col(f"`{text_col}`"), ranks, pattern).alias("_b"))
+    return both.select(F.col("_id").alias(id_col), (F.octet_length("_b.ids") / 4).cast("long").alias("n_tokens"), F.sha2("_b.ids", 256).alias("ids_sha256"), F.sha2("_b.decoded", 256).alias("decoded_sha256"))
