@@ -10,6 +10,7 @@ from quillspark.operators.dataset import build_dataset
 
 def main(args: list[str] | None = None) -> dict:
     p = argparse.ArgumentParser(prog="quillspark", description=__doc__)
+    # The flags and their defaults.
     p.add_argument("--source-dirs", nargs="+", default=["src"])
     p.add_argument("--output", default="data/fim_dataset.jsonl")
     p.add_argument("--max-files", type=int, default=5000)

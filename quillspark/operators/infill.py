@@ -6,6 +6,8 @@ from pyspark.sql import types as T
 
 from quillspark.functions.scoring import passes
 from quillspark.functions.text import after_mask, before_mask, replace_first
+from quillspark.operators import sandbox
+from quillspark.operators.evaluate import summarise
 from quillspark.operators.sampling import shuffled_cap
 from quillspark.schemas import MASK, UNIT_TESTS
 
@@ -39,3 +41,11 @@ def assemble(prompt: Column, completion: Column) -> Column:
 def judge(runs: DataFrame) -> DataFrame:
     """model, task_id, pass@1 from runs(model, task_id, unit_tests, outputs)."""
     return runs.select("model", "task_id", passes(F.col("outputs"), F.col("unit_tests")).cast("double").alias("pass@1"))
+
+
+def score_tasks(tasks: DataFrame, predictions: DataFrame, allow_execution: bool = False, timeout: float = sandbox.WALL_SECONDS) -> tuple[DataFrame, DataFrame]:
+    """Scores (model, task_id, pass@1) of predictions(record_id, model, completion) for loaded tasks, and their summary; programs are run."""
+    keyed = predictions.select(F.col("record_id").alias("task_id"), "model", "completion")
+    runs = tasks.join(keyed, "task_id").withColumn("program", assemble(F.col("eval_prompt"), F.col("completion")))
+    scores = judge(runs.withColumn("outputs", sandbox.outputs(F.col("program"), F.col("unit_tests"), allow_execution, timeout)))
+    return scores, summarise(scores, "pass@1")

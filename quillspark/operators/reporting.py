@@ -1,6 +1,7 @@
 """Report tables: loss series, run ids, flat configurations, metric names, benchmark pivots."""
 
 import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,14 +16,19 @@ def loss_series(log: DataFrame) -> DataFrame:
     return train.unionByName(evals.join(any_train, "series", "left_semi"))
 
 
+#: What is replaced in a model's name to get its slug, its length, and the form of a run's id.
+SLUG = (("qwen2.5-coder-", "qwen"), (".", ""), ("-", ""))
+SLUG_LENGTH = 8
+RUN_ID = "%s-lora-r%s-e%s-ds%s-%s-a%s"
+
+
 def model_slug(name: Column) -> Column:
     stem = F.lower(F.substring_index(name, "/", -1))
-    short = F.replace(stem, F.lit("qwen2.5-coder-"), F.lit("qwen"))  # fixed value: the stem that has a short form
-    return F.substring(F.replace(F.replace(short, F.lit("."), F.lit("")), F.lit("-"), F.lit("")), 1, 8)
+    return F.substring(reduce(lambda s, r: F.replace(s, F.lit(r[0]), F.lit(r[1])), SLUG, stem), 1, SLUG_LENGTH)
 
 
 def run_id(name: Column, rank: Column, epochs: Column, version: Column, day: Column, attempt: Column) -> Column:
-    return F.concat(model_slug(name), F.lit("-lora-r"), rank.cast("string"), F.lit("-e"), epochs.cast("string"), F.lit("-ds"), F.coalesce(version, F.lit("v1")), F.lit("-"), F.date_format(day, "yyyyMMdd"), F.lit("-a"), F.coalesce(attempt, F.lit(1)).cast("string"))
+    return F.format_string(RUN_ID, model_slug(name), rank.cast("string"), epochs.cast("string"), F.coalesce(version, F.lit("v1")), F.date_format(day, "yyyyMMdd"), F.coalesce(attempt, F.lit(1)).cast("string"))
 
 
 #: The keys of a run's flat record, by section.
@@ -39,7 +45,7 @@ def flatten_config(config: dict, fingerprint: str = "unknown", revision: str = "
     flat = {f"{s}/{k}": config[s][k] for s, keys in FLAT.items() for k in keys}
     training, run = config["training"], config.get("wandb", {})
     attempt, version = run.get("attempt", 1), str(run.get("dataset_version", "v1"))
-    stem = config["model"]["name"].rsplit("/", 1)[-1].lower().replace("qwen2.5-coder-", "qwen").translate({46: None, 45: None})[:8]
+    slug = reduce(lambda s, r: s.replace(*r), SLUG, config["model"]["name"].rsplit("/", 1)[-1].lower())[:SLUG_LENGTH]
     stamp = f"{day or datetime.datetime.now(datetime.UTC).date():%Y%m%d}"
     return flat | {
         "training/effective_batch_size": training["per_device_train_batch_size"] * training["gradient_accumulation_steps"],
@@ -49,7 +55,7 @@ def flatten_config(config: dict, fingerprint: str = "unknown", revision: str = "
         "compute/gpu_type": device,
         "run/attempt": attempt,
         "run/dataset_version": version,
-        "run/id": f"{stem}-lora-r{config['lora']['r']}-e{training['num_epochs']}-ds{version}-{stamp}-a{attempt}",
+        "run/id": RUN_ID % (slug, config["lora"]["r"], training["num_epochs"], version, stamp, attempt),
     }
 
 
@@ -63,8 +69,25 @@ def split_project(full: Column) -> tuple[Column, Column]:
     return F.when(at > 0, F.substr(full, F.lit(1), at - 1)), F.when(at > 0, F.substr(full, at + F.lit(1))).otherwise(full)
 
 
-def metric_name(label: Column, metric: Column) -> Column:
-    return F.concat(F.lit("eval/"), F.when(label == "Base", "base").otherwise("lora_ft"), F.lit("/"), metric)
+def metric_name(label: Column, metric: Column, scope: str = "eval") -> Column:
+    return F.concat(F.lit(f"{scope}/"), F.when(label == "Base", "base").otherwise("lora_ft"), F.lit("/"), F.replace(metric, F.lit("@"), F.lit("_at_")))
+
+
+def tracker_scalars(summary: DataFrame, *metrics: str, scope: str = "eval") -> DataFrame:
+    """(name, value) for every model and metric of a summary, as a tracker takes them."""
+    long = summary.select("model", *[F.col(f"`{m}`").cast("double") for m in metrics]).unpivot("model", [f"`{m}`" for m in metrics], "metric", "value")
+    return long.select(metric_name(F.col("model"), F.replace("metric", F.lit("`"), F.lit("")), scope).alias("name"), "value")
+
+
+def results_table(scores: DataFrame, scope: str = "eval") -> DataFrame:
+    """The per-example scores, each row with the name of the tracker's table that it belongs to."""
+    return scores.select(F.lit(f"{scope}/results_table").alias("table"), *[F.col(f"`{c}`") for c in scores.columns if c != "table"])
+
+
+def accuracy_cost(results: DataFrame, metric: str) -> DataFrame:
+    """Points for accuracy against deployment cost: model, benchmark, size, quantisation and the metric, where both are known."""
+    points = results.select("model_name", "benchmark", "params", F.coalesce("quantization", F.lit("none")).alias("quantization"), F.col(f"`{metric}`").alias("value"))
+    return points.where("params IS NOT NULL AND value IS NOT NULL")
 
 
 def fingerprint16(content: Column) -> Column:

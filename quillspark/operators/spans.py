@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.rng import uniform_int
 from quillspark.functions.text import fim_text, has_sentinel, is_blank, join_lines, split_lines
+from quillspark.shared import row_of
 
 MIN_LINES = 10
 
@@ -44,6 +45,10 @@ def spans(sources: DataFrame, key: str, text: str, samples: int = 5, seed: int =
 
 
 def keep_first(rows: DataFrame, text: str, *order: str) -> DataFrame:
-    """Exact dedup on a text column: the first row in the given order stays. Rows are grouped by digest, and each task drops its own repeats before the shuffle."""
-    by = Window.partitionBy(F.sha2(F.col(text).cast("binary"), 256)).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
+    """Exact dedup on a text column: the first row in the given order stays, with all its columns, whatever they are called.
+
+    Rows are grouped by digest, and each task drops its own repeats before the shuffle. Null texts are equal to each other.
+    """
+    held = rows.select(row_of(rows).alias("row"), F.sha2(F.col(f"`{text}`").cast("binary"), 256).alias("digest"))
+    by = Window.partitionBy("digest").orderBy(*[F.col(f"row.`{c}`") for c in order])
+    return held.withColumn("n", F.row_number().over(by)).where("n = 1").select("row.*")

@@ -103,13 +103,37 @@ CONFIG = """WITH x AS (SELECT max(p_size) AS e, min(p_size) AS b FROM part)
     ['run/attempt', '1'], ['run/dataset_version', 'v1'], ['run/id', 'model1-lora-r16-e' || e || '-dsv1-20260105-a1']]) AS kv FROM x"""
 CONFIG = f"SELECT kv[1] AS key, kv[2] AS value FROM ({CONFIG})"
 NAMES = """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_brand END AS entity, CASE WHEN p_size % 2 = 0 THEN p_type || '/x' ELSE p_brand END AS project,
-    'eval/' || CASE WHEN p_size % 3 = 0 THEN 'base' ELSE 'lora_ft' END || '/exact_match' AS metric, round(p_retailprice / 1024, 6) AS kb FROM part"""
+    'eval/' || CASE WHEN p_size % 3 = 0 THEN 'base' ELSE 'lora_ft' END || '/exact_match' AS metric, round(p_retailprice / 1024, 6) AS kb, round(p_retailprice * 1000 / 1048576, 6) AS mb FROM part"""
 MODELFILE = """SELECT r_regionkey, md5(array_to_string(['# Modelfile for Qwen2.5-Coder-0.5B Python FIM', 'FROM ' || r_name || '.gguf', '', '# Qwen2.5-Coder FIM template',
     'TEMPLATE \"\"\"<|fim_prefix|>{{ .Prompt }}<|fim_suffix|><|fim_middle|>\"\"\"', '', 'PARAMETER stop \"<|endoftext|>\"', 'PARAMETER stop \"<|fim_middle|>\"',
     'PARAMETER stop \"<|fim_prefix|>\"', 'PARAMETER stop \"<|fim_suffix|>\"', ''], chr(10))) AS md5 FROM region"""
 SOURCES = "SELECT source, count(*) AS n_files, sum(strlen(text))::BIGINT AS n_bytes FROM documents GROUP BY source"
 MIX = "SELECT lang, count(*) AS n, round(avg(length(text)), 6) AS mean_length, round(median(length(text)), 6)::DOUBLE AS median_length, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM documents GROUP BY lang"
 RESULTS = "b AS (SELECT o_orderpriority AS model_name, o_orderstatus AS benchmark, CASE WHEN o_orderkey % 2 = 0 THEN 'none' ELSE 'q4' END AS quantization, avg(o_totalprice / 1000) AS v FROM orders GROUP BY ALL)"
-PIVOT = f"""WITH {RESULTS} SELECT model_name, round(max(v) FILTER (benchmark = 'F'), 4) AS bench_f, round(max(v) FILTER (benchmark = 'O'), 4) AS bench_o,
-    round(max(v) FILTER (benchmark = 'P'), 4) AS bench_p FROM b WHERE quantization = 'none' GROUP BY model_name"""
+PIVOT = f"""WITH {RESULTS} SELECT model_name || '/' || quantization AS model_name, round(max(v) FILTER (benchmark = 'F'), 4) AS bench_f, round(max(v) FILTER (benchmark = 'O'), 4) AS bench_o,
+    round(max(v) FILTER (benchmark = 'P'), 4) AS bench_p FROM b GROUP BY ALL"""
 RETENTION = f"WITH {RESULTS} SELECT x.model_name, x.benchmark, x.quantization, round(x.v / y.v, 6) AS retained FROM b x JOIN b y ON x.model_name = y.model_name AND x.benchmark = y.benchmark AND y.quantization = 'none' WHERE x.quantization = 'q4'"
+SCATTER = f"WITH {RESULTS} SELECT model_name, benchmark, quantization, length(model_name) AS params, round(v, 4) AS value FROM b WHERE benchmark <> 'P'"
+SCALARS = f"WITH {JUDGED} SELECT CASE WHEN model = 'Base' THEN 'eval/safim/base/pass_at_1' ELSE 'eval/safim/lora_ft/pass_at_1' END AS name, round(avg(passed), 6) AS value FROM j GROUP BY model"
+RESULTS_ROWS = f"WITH {JUDGED} SELECT 'eval/safim/results_table' AS name, model, task_id, passed FROM j"
+SOURCE_SPLIT = f"""WITH g AS (SELECT source, count(*) AS n, {order_key("source")} AS k FROM documents GROUP BY source),
+    c AS (SELECT *, sum(n) OVER (ORDER BY k) - n AS before, floor(sum(n) OVER () * 0.9::DOUBLE) AS want FROM g),
+    d AS (SELECT source, n, greatest(0, least(n, want - before))::BIGINT AS n_train FROM c)
+    SELECT source, n_train, n - n_train AS n_val FROM d"""
+#: The tree of sources: one file for each size and parity, the odd ones invalid.
+TREE = f"""src AS (SELECT DISTINCT p_size, p_partkey % 2 AS odd, 'd' || (p_size % 3) || '/s' || p_size || '_' || (p_partkey % 2) || '.py' AS name,
+    {SOURCE} || CASE WHEN p_partkey % 2 = 1 THEN chr(10) || 'def foo(:' ELSE '' END AS source FROM part), ok AS (SELECT name, source FROM src WHERE odd = 0)"""
+CORPUS = f"WITH {TREE}, {spans_of('ok', 'name', 'source')}, {FIRST} SELECT md5(text) AS text_md5, md5(prefix) AS prefix_md5, md5(middle) AS middle_md5, md5(suffix) AS suffix_md5 FROM k"
+#: Here the folders d0 to d2 are the roots, so that a file is known by its name alone.
+CORPUS_COUNTERS = f"""WITH {TREE.replace("SELECT name, source FROM src", "SELECT split_part(name, '/', 2) AS name, source FROM src")}, {spans_of('ok', 'name', 'source')}, {FIRST}
+    SELECT 'files' AS name, count(*) AS n FROM src UNION ALL SELECT 'unreadable', 0 UNION ALL SELECT 'invalid', count(*) FROM src WHERE odd = 1
+    UNION ALL SELECT 'processed', count(*) FROM ok UNION ALL SELECT 'raw', count(*) FROM s UNION ALL SELECT 'kept', count(*) FROM k UNION ALL SELECT 'lines', count(*) FROM k
+    UNION ALL SELECT 'bytes', sum(strlen(source))::BIGINT FROM src UNION ALL SELECT split_part(name, '/', 1), count(*) FROM src GROUP BY split_part(name, '/', 1)"""
+TRAIN_TEXTS = f"""WITH t AS (SELECT coalesce(source, 'none') AS text FROM documents UNION ALL SELECT text FROM documents WHERE text IS NOT NULL),
+    r AS (SELECT text, CASE WHEN row_number() OVER (ORDER BY {order_key("text")}) <= floor(count(*) OVER () * 0.9::DOUBLE) THEN 'train' ELSE 'val' END AS split FROM t)
+    SELECT md5(text) AS text_md5, split, count(*) AS n FROM r GROUP BY ALL"""
+JSONL = """SELECT role AS prefix, turn::VARCHAR AS middle, md5('"' || chr(92) || chr(9) || chr(8232) || text) AS suffix_md5, md5(text) AS text_md5 FROM conversations WHERE text IS NOT NULL"""
+TASK_FILES = "SELECT doc_id::VARCHAR AS task_id, lang, 'block' AS config FROM documents WHERE lang IS NOT NULL AND doc_id % 3 = 0"
+EXEC_SCORES = """SELECT * FROM (VALUES ('add', 'Base', 1.0::DOUBLE), ('add', 'LoRA-FT', 0.0), ('none', 'Base', 0.0), ('none', 'LoRA-FT', 0.0), ('late', 'Base', 1.0), ('late', 'LoRA-FT', 1.0)) AS v(task_id, model, passed)"""
+SANDBOX = "SELECT * FROM (VALUES ('right', 1.0::DOUBLE), ('wrong', 0.0), ('fails', 0.0), ('endless', 0.0)) AS v(task_id, passed)"
+BLOCKS = """SELECT p_partkey, kind, "start", "end" FROM part, (VALUES ('function', 0, 5), ('block', 2, 4)) AS v(kind, "start", "end")"""

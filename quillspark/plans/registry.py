@@ -1,14 +1,18 @@
 """Registered queries of the core engine and their SQL counterparts, over the generated tables."""
 
+import datetime
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions import scoring, text
-from quillspark.operators import blocks, evaluate, infill, reporting, sampling, sandbox, spans, validity
-from quillspark.operators.dataset import build_counters
+from quillspark.functions import scoring, sizes, text
+from quillspark.operators import blocks, dataset, evaluate, infill, reporting, sampling, sandbox, spans, validity
 from quillspark.plans import oracles
 from quillspark.schemas import MASK
 from quillspark.session import ship
+from quillspark.shared import open_fs, scratch_path, shuffle_width
+from quillspark.sources import readers, writers
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -32,10 +36,16 @@ def _spans(t) -> DataFrame:
     return spans.spans(t("documents").select("doc_id", "text"), "doc_id", "text")
 
 
+def _digest(c: str):
+    """A text by its digest, so that no text is shuffled to be compared."""
+    return F.sha2(F.col(c).cast("binary"), 256).alias(c)
+
+
 @query(oracles.FLAGSHIP)
 def fim_flagship(t, spark):
     """Distinct infill records by language."""
     made = spans.spans(t("documents").select("doc_id", "lang", "text"), "doc_id", "text", carry=("lang",))
+    made = made.select("lang", "file_id", "attempt", "span_len", _digest("text"))
     by = spans.keep_first(made, "text", "file_id", "attempt").groupBy("lang")
     return by.agg(F.count(F.lit(1)).alias("n_records"), F.sum("span_len").cast("long").alias("n_lines"))
 
@@ -47,17 +57,18 @@ def fim_spans(t, spark):
 
 @query(oracles.DEDUP)
 def fim_dedup(t, spark):
-    return spans.keep_first(_spans(t), "text", "file_id", "attempt").select("file_id", "attempt", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    made = _spans(t).select("file_id", "attempt", F.md5(F.col("text").cast("binary")).alias("text_md5"), _digest("text"))
+    return spans.keep_first(made, "text", "file_id", "attempt").select("file_id", "attempt", "text_md5")
 
 
 @query(oracles.BUILD_STATS)
 def fim_build_stats(t, spark):
     """The builder's counters, with one invalid text in every ten documents by construction."""
-    raw = _spans(t).select("file_id", "attempt", "text")
-    kept = spans.keep_first(raw, "text", "file_id", "attempt").select("file_id", F.lit(0).alias("r"), F.lit(1).alias("k"))
-    each = raw.select("file_id", F.lit(1).alias("r"), F.lit(0).alias("k")).unionByName(kept).groupBy("file_id").agg(F.sum("r").alias("n_raw"), F.sum("k").alias("n_kept"))
+    nth = F.row_number().over(Window.partitionBy("text").orderBy("file_id", "attempt"))
+    raw = _spans(t).select("file_id", "attempt", _digest("text")).withColumn("n", nth)
+    each = raw.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_raw"), F.count_if(F.col("n") == 1).alias("n_kept"))
     docs = t("documents").select("doc_id", F.lit(True).alias("readable"), (F.col("doc_id") % 10 != 0).alias("valid"))
-    return build_counters(docs.join(each, docs["doc_id"] == each["file_id"], "left"))
+    return dataset.build_counters(docs.join(each, docs["doc_id"] == each["file_id"], "left"))
 
 
 @query(oracles.LINE_STATS)
@@ -115,9 +126,8 @@ def shuffle_cap(t, spark):
 def lang_sample(t, spark):
     """Language filter, seeded cap, then the mask filter: every third document has a mask."""
     prompt = F.when(F.col("doc_id") % 3 == 0, F.concat(F.substring("text", 1, 20), F.lit(MASK), F.substr("text", F.lit(21)))).otherwise(F.col("text"))
-    raw = t("documents").select(F.col("doc_id").alias("task_id"), "lang", prompt.alias("eval_prompt"))
-    capped = sampling.shuffled_cap(raw.where(F.col("lang") == "en"), "task_id", 100)
-    return infill.masked(capped).select("task_id", "prefix", "suffix")
+    raw = t("documents").select(F.col("doc_id").alias("task_id"), "lang", prompt.alias("eval_prompt"), F.lit('[{"input": "", "output": []}]').alias("unit_tests"))
+    return infill.load_tasks(raw, language="en", max_samples=100).select("task_id", "prefix", "suffix")
 
 
 @query(oracles.HEAD)
@@ -138,7 +148,8 @@ def _half(c: str):
 
 def _text_scores(t) -> DataFrame:
     # Spread before the quadratic distance: a scan of few files would leave it to few tasks.
-    turns = _turns(t).repartition(32, "record_id")
+    turns = _turns(t)
+    turns = turns.repartition(shuffle_width(turns.sparkSession), "record_id")
     echo = evaluate.predict(turns, "Base", F.col("text"))
     half = evaluate.predict(turns, "LoRA-FT", _half("middle"))
     return evaluate.score_text(turns, echo.unionByName(half))
@@ -220,8 +231,9 @@ def json_props(t, spark):
 
 
 def _log(t) -> DataFrame:
+    """Trainer logs of at most a thousand entries each."""
     entry = F.struct(F.col("event_id").alias("step"), F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("loss"), F.when(F.col("event_id") % 5 == 0, F.col("value") / 2).alias("eval_loss"))
-    return t("events").where("event_type IS NOT NULL").select((F.col("event_id") % 16).alias("shard"), entry.alias("e")).groupBy("shard").agg(F.collect_list("e").alias("log_history"))
+    return t("events").where("event_type IS NOT NULL").select(F.floor(F.col("event_id") / 1000).alias("run"), entry.alias("e")).groupBy("run").agg(F.collect_list("e").alias("log_history"))
 
 
 @query(oracles.LOSS)
@@ -259,7 +271,7 @@ def config_flatten(t, spark):
         "training": {"num_epochs": row["e"], "per_device_train_batch_size": row["b"], "gradient_accumulation_steps": 4, "learning_rate": 0.25, "warmup_steps": 10, "lr_scheduler_type": "cosine", "fp16": "true", "seed": 42},
         "data": {"path": "d.jsonl", "train_split": 0.5},
     }
-    flat = reporting.flatten_config(config, day=__import__("datetime").date(2026, 1, 5))
+    flat = reporting.flatten_config(config, day=datetime.date(2026, 1, 5))
     return reporting.config_table(spark, flat).select(F.explode("config").alias("key", "value"))
 
 
@@ -267,7 +279,7 @@ def config_flatten(t, spark):
 def metric_names(t, spark):
     entity, project = reporting.split_project(F.when(F.col("p_size") % 2 == 0, F.concat("p_brand", F.lit("/"), "p_type", F.lit("/x"))).otherwise(F.col("p_brand")))
     label = F.when(F.col("p_size") % 3 == 0, "Base").otherwise("Other")
-    return t("part").select("p_partkey", entity.alias("entity"), project.alias("project"), reporting.metric_name(label, F.lit("exact_match")).alias("metric"), F.round(F.col("p_retailprice") / 1024, 6).alias("kb"))
+    return t("part").select("p_partkey", entity.alias("entity"), project.alias("project"), reporting.metric_name(label, F.lit("exact_match")).alias("metric"), F.round(sizes.kilobytes(F.col("p_retailprice")), 6).alias("kb"), F.round(sizes.megabytes(F.col("p_retailprice") * 1000), 6).alias("mb"))
 
 
 @query(oracles.MODELFILE)
@@ -295,7 +307,9 @@ def _results(t) -> DataFrame:
 
 @query(oracles.PIVOT)
 def benchmark_pivot(t, spark):
-    pivot = reporting.benchmark_pivot(_results(t).where("quantization = 'none'"), "pass@1", ["F", "O", "P"])
+    """Every result, quantised ones as variants of their model."""
+    variant = _results(t).withColumn("model_name", F.concat_ws("/", "model_name", "quantization"))
+    pivot = reporting.benchmark_pivot(variant, "pass@1", ["F", "O", "P"])
     return pivot.select("model_name", *[F.round(c, 4).alias(f"bench_{c.lower()}") for c in ("F", "O", "P")])
 
 
@@ -304,7 +318,121 @@ def accuracy_retention(t, spark):
     return reporting.retention(_results(t), "pass@1").select("model_name", "benchmark", "quantization", F.round("retained", 6).alias("retained"))
 
 
-@query()
+@query(oracles.SCATTER)
+def accuracy_cost(t, spark):
+    """Accuracy against model size, sizes by the length of the model's name and unknown for some."""
+    sized = _results(t).withColumn("params", F.when(F.col("benchmark") != "P", F.length("model_name")))
+    return reporting.accuracy_cost(sized, "pass@1").withColumn("value", F.round("value", 4))
+
+
+@query(oracles.SCALARS)
+def tracker_scalars(t, spark):
+    passed = evaluate.summarise(infill.judge(_runs(t)), "pass@1")
+    return reporting.tracker_scalars(passed, "pass@1", scope="eval/safim").withColumn("value", F.round("value", 6))
+
+
+@query(oracles.RESULTS_ROWS)
+def results_table(t, spark):
+    """Per-example rows of the tracker's table."""
+    scores = infill.judge(_runs(t)).withColumnRenamed("pass@1", "passed")
+    return reporting.results_table(scores, scope="eval/safim").withColumnRenamed("table", "name")
+
+
+@query(oracles.SOURCE_SPLIT)
+def split_on_repeated_keys(t, spark):
+    """A split by a key that many rows share: floor(n * 0.9) rows are train."""
+    split = sampling.train_val_split(t("documents").select("source", "doc_id"), "source")
+    return split.groupBy("source").agg(F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "val").alias("n_val"))
+
+
+def _write_sources(t, spark) -> str:
+    """A tree of Python files in the shared folder, one for each size and kind of generated source; returns its root."""
+    root = scratch_path(spark, "tree")
+    files = _part_sources(t).select(F.format_string("d%d/s%d_%d.py", F.col("p_size") % 3, "p_size", F.col("p_partkey") % 2).alias("name"), "source").distinct()
+
+    def write(batches):
+        for batch in batches:
+            for name, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                fs, where = open_fs(f"{root}/{name}")
+                fs.create_dir(where.rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(where, compression=None) as f:
+                    f.write(source.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    files.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    return root
+
+
+@query(oracles.CORPUS)
+def corpus_build(t, spark):
+    """The whole build over real files: scan, decode, validity, spans, dedup, JSON lines, and back."""
+    root, out = _write_sources(t, spark), scratch_path(spark, "corpus")
+    dataset.build_dataset(spark, [root], out)
+    digest = lambda c: F.md5(F.col(c).cast("binary")).alias(f"{c}_md5")
+    return readers.scan_jsonl(spark, out).select(digest("text"), digest("prefix"), digest("middle"), digest("suffix"))
+
+
+@query(oracles.CORPUS_COUNTERS)
+def corpus_counters(t, spark):
+    """The build's counters, lines written, files by folder and bytes, over real files."""
+    root, out = _write_sources(t, spark), scratch_path(spark, "corpus")
+    made = dataset.build_dataset(spark, [f"{root}/d{i}" for i in range(3)], out)
+    made |= {"lines": readers.non_blank_lines(spark, out), "bytes": dataset.directory_bytes(spark, root)}
+    folders = dataset.files_by_directory(readers.scan_sources(spark, [f"{root}/d{i}" for i in range(3)])).collect()  # three rows
+    rows = list(made.items()) + [(r["directory"].rsplit("/", 1)[1], r["n_files"]) for r in folders]
+    return spark.createDataFrame(rows, "name string, n long")
+
+
+@query(oracles.TRAIN_TEXTS)
+def train_val_texts(t, spark):
+    """The trainer's loader on JSON lines with repeated texts: how often each text is in train and in val."""
+    path = scratch_path(spark, "jsonl")
+    rows = t("documents").select(*[F.lit("").alias(c) for c in ("prefix", "suffix", "middle")], F.coalesce("source", F.lit("none")).alias("text"))
+    writers.write_jsonl(rows.unionByName(t("documents").select("text").where("text IS NOT NULL"), allowMissingColumns=True), path)
+    sides = [side.select("text", F.lit(name).alias("split")) for name, side in zip(("train", "val"), dataset.load_train_val(spark, path), strict=True)]
+    return sides[0].unionByName(sides[1]).groupBy(F.md5(F.col("text").cast("binary")).alias("text_md5"), "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(oracles.JSONL)
+def jsonl_round_trip(t, spark):
+    """Records through the JSON-lines sink and scan, with every character that the tables hold."""
+    path = scratch_path(spark, "jsonl")
+    made = t("conversations").where("text IS NOT NULL").select(F.col("role").alias("prefix"), F.concat(F.lit('"\\\t\u2028'), "text").alias("suffix"), F.col("turn").cast("string").alias("middle"), "text")
+    writers.write_jsonl(made, path)
+    return readers.scan_jsonl(spark, path).select("prefix", "middle", F.md5(F.col("suffix").cast("binary")).alias("suffix_md5"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(oracles.EXACT_MATCH)
+def summary_csv(t, spark):
+    """The summary as its CSV gives it back."""
+    path = scratch_path(spark, "csv")
+    writers.write_summary(exact_match_by_model(t, spark), path)
+    return spark.read.option("header", True).schema("model string, exact_match double").csv(path)
+
+
+@query(oracles.TASK_FILES)
+def task_files(t, spark):
+    """Tasks from stored files, by configuration and split."""
+    root = scratch_path(spark, "tasks")
+    raw = t("documents").where("lang IS NOT NULL").select(F.col("doc_id").cast("string").alias("task_id"), "lang")
+    for config, split, rest in (("block", "test", 0), ("block", "train", 1), ("api", "test", 2)):
+        raw.where(F.col("doc_id") % 3 == rest).withColumn("config", F.lit(config)).coalesce(2).write.parquet(f"{root}/{config}/{split}.parquet")
+    return readers.scan_tasks(spark, root, "block", "test").select("task_id", "lang", "config")
+
+
+@query(oracles.EXEC_SCORES)
+def exec_scores(t, spark):
+    """Loaded tasks, completed by two stored models, assembled, run and judged; a task without tests passes for nobody."""
+    body = "a = int(input())\nprint({{completion}})\n"
+    tests = '[{"input": "1", "output": ["2", "2.0"]}, {"input": "4", "output": ["5"]}]'
+    rows = [("add", "python", body, tests), ("none", "python", body, "[]"), ("other", "java", body, tests), ("whole", "python", "print(1)", tests), ("late", "python", body, tests.replace("[\"5\"]", "[\"8\", \" 5 \\n\"]"))]
+    tasks = infill.load_tasks(spark.createDataFrame(rows, "task_id string, lang string, eval_prompt string, unit_tests string"))
+    done = [(k, m, c) for k in ("add", "none", "late") for m, c in (("Base", "a + 1"), ("LoRA-FT", "a * 2"))]
+    scores, _ = infill.score_tasks(tasks, spark.createDataFrame(done, "record_id string, model string, completion string"), allow_execution=True)
+    return scores.select("task_id", "model", F.col("`pass@1`").alias("passed"))
+
+
+@query(oracles.SANDBOX)
 def exec_sandbox(t, spark):
     """Four trusted programs under limits: right, wrong, failing and endless."""
     rows = [("right", "print(int(input()) + 1)", "1"), ("wrong", "print(3)", "1"), ("fails", "raise SystemExit(3)", "1"), ("endless", "while True: pass", "1")]
@@ -314,7 +442,7 @@ def exec_sandbox(t, spark):
     return infill.judge(done).select("task_id", F.col("`pass@1`").alias("passed"))
 
 
-@query()
+@query(oracles.BLOCKS)
 def block_spans(t, spark):
     """Function and block spans of generated sources."""
     source = F.concat(F.lit("def f(x):\n    if x:\n        y = "), F.col("p_size").cast("string"), F.lit("\n        return y\n    return 0\n"))

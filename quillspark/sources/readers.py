@@ -4,7 +4,7 @@ import re
 from collections import Counter
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,16 @@ def scan_sources(spark: SparkSession, dirs: list[str], pattern: str = "*.py") ->
     return reduce(DataFrame.unionByName, map(one, dirs))
 
 
+def below(spark: SparkSession, path: Column, dirs: list[str]) -> Column:
+    """A path without the source folder that it is in, the innermost if there are several."""
+    known = []
+    for d in dirs:
+        where = spark._jvm.org.apache.hadoop.fs.Path(d)
+        known.append(where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/") + "/")
+    cut = [F.when(F.startswith(path, F.lit(k)), F.substr(path, F.lit(len(k) + 1))) for k in sorted(known, key=len, reverse=True)]
+    return F.coalesce(*cut, path)
+
+
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """path, content of the given files, as often as each is listed; files that cannot be read are left out. The list is a capped one."""
     times = Counter(paths)
@@ -48,9 +58,21 @@ def scan_trainer_log(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.schema(TRAINER_LOG).option("multiLine", "true").json(path)
 
 
-def scan_tasks(spark: SparkSession, path: str) -> DataFrame:
-    """Raw infill tasks from Parquet or JSON lines, with unit_tests as JSON text or nested."""
-    return spark.read.parquet(path) if path.endswith(".parquet") else spark.read.json(path)
+def scan_tasks(spark: SparkSession, path: str, config: str | None = None, split: str | None = None) -> DataFrame:
+    """Raw infill tasks from Parquet or JSON lines, with unit_tests as JSON text or nested.
+
+    With a configuration, the files of the folder of that name below path; with a split, those whose names begin with
+    it. The kind of file follows from the names found.
+    """
+    if config is None and split is None:
+        return spark.read.parquet(path) if path.endswith(".parquet") else spark.read.json(path)
+    pattern = f"{path.rstrip('/')}/{config + '/' if config else ''}{split or ''}*"
+    where = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = [f.getPath().toString() for f in where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []]
+    parquet, lines = ([f for f in found if f.endswith(ends)] for ends in ((".parquet",), (".json", ".jsonl")))
+    if not parquet and not lines:
+        raise ValueError(f"no tasks in {pattern}")
+    return spark.read.parquet(*parquet) if parquet else spark.read.json(lines)
 
 
 def non_blank_lines(spark: SparkSession, path: str) -> int:

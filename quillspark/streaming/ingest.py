@@ -8,10 +8,20 @@ from pyspark.sql.streaming import StreamingQuery
 from quillspark.operators.spans import spans
 
 
-def stream_spans(spark: SparkSession, folder: str, schema: T.StructType, key: str, text: str, samples: int = 5, seed: int = 42) -> DataFrame:
-    """Spans of every new Parquet file in a folder, each distinct record once; state holds a digest of each."""
-    made = spans(spark.readStream.schema(schema).parquet(folder), key, text, samples, seed)
-    return made.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256)).dropDuplicates(["digest"])
+def stream_spans(spark: SparkSession, folder: str, schema: T.StructType, key: str, text: str, samples: int = 5, seed: int = 42, within: str | None = None) -> DataFrame:
+    """Spans of every new Parquet file in a folder, each distinct record once; state holds a digest of each.
+
+    With `within`, a duration such as "7 days", digests are forgotten that long after their file was written (by the
+    files' times), so that the state is bounded; a record that comes again later than that is then kept again.
+    """
+    source = spark.readStream.schema(schema).parquet(folder)
+    if within is None:
+        made = spans(source, key, text, samples, seed)
+    else:
+        timed = source.withColumn("arrived", F.col("_metadata.file_modification_time")).withWatermark("arrived", within)
+        made = spans(timed, key, text, samples, seed, carry=("arrived",))
+    digested = made.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
+    return digested.dropDuplicates(["digest"]) if within is None else digested.dropDuplicatesWithinWatermark(["digest"])
 
 
 def ingest(made: DataFrame, out: str, checkpoint: str) -> StreamingQuery:

@@ -39,6 +39,9 @@ def test_spans_properties(spark):
 def test_keep_first(spark):
     rows = spark.createDataFrame([(3, "a"), (1, "a"), (2, "A"), (5, None), (4, None)], "k int, t string")
     assert sorted(r.k for r in keep_first(rows, "t", "k").collect()) == [1, 2, 4]
+    clash = rows.selectExpr("k", "t", "'a' AS _n", "'b' AS n", "'c' AS digest", "'d' AS `row`")
+    got = keep_first(clash, "t", "k")
+    assert got.columns == clash.columns and {tuple(r)[2:] for r in got.collect()} == {("a", "b", "c", "d")}
 
 
 def test_decoding_and_validity(spark):
@@ -113,6 +116,72 @@ def test_split(spark, n):
     assert sampling.shuffled_cap(rows, "k", 5).count() == min(n, 5)
 
 
+@pytest.mark.parametrize("ratio", [0.0, 0.1, 0.5, 0.9, 1.0])
+def test_split_takes_whole_records_at_any_key(spark, ratio):
+    """Repeated and null keys, wholly equal rows, and columns with the names of what is in between."""
+    for keys in ([7] * 25, [None] * 25, [None] * 5 + [1] * 12 + [2, 3] * 4, list(range(25))):
+        rows = [(k, "same" if i % 2 else f"row {i}", i % 3, "s", "x") for i, k in enumerate(keys)]
+        table = spark.createDataFrame(rows, "k long, t string, v int, _k string, `row` string").repartition(3)
+        got = sampling.train_val_split(table, "k", ratio, 5)
+        assert got.columns == [*table.columns, "split"]
+        found = got.collect()
+        assert sum(r.split == "train" for r in found) == math.floor(len(keys) * ratio) and len(found) == len(keys)
+        assert sorted(map(str, (tuple(r)[:-1] for r in found))) == sorted(map(str, rows))
+        again = sampling.train_val_split(got.repartition(2), "k", ratio, 5).collect()
+        assert sorted(map(str, again)) == sorted(map(str, found))
+    grouped = sampling.train_val_split(table.withColumn("g", F.when(F.col("k") > 5, F.col("k") % 4)), "k", 0.5, group_by="g").collect()
+    assert len({(r.g, r.split) for r in grouped}) == 5 and len(grouped) == 25
+
+
+def test_many_equal_rows_are_split_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "BLOCK", 7)
+    table = spark.createDataFrame([("a",)] * 50, "k string")
+    got = sampling.train_val_split(table, "k", 0.9).groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in got} == {"train": 45, "val": 5}
+
+
+def test_loader_and_task_files(spark, tmp_path):
+    path = tmp_path / "a.jsonl"
+    path.write_text("".join(json.dumps({"prefix": "", "suffix": "", "middle": "", "text": f"t{i % 4}"}) + "\n" for i in range(20)))
+    train, val = dataset.load_train_val(spark, str(path))
+    assert (train.columns, train.count(), val.count()) == (["text"], 18, 2)
+    assert sorted(r.text for r in train.unionByName(val).collect()) == sorted(f"t{i % 4}" for i in range(20))
+    path.write_text("\n")
+    with pytest.raises(ValueError, match="no records"):
+        dataset.load_train_val(spark, str(path))
+    for config, name in (("block", "test-0.jsonl"), ("block", "train.jsonl"), ("api", "test.jsonl")):
+        (tmp_path / config).mkdir(exist_ok=True)
+        (tmp_path / config / name).write_text(json.dumps({"task_id": f"{config}/{name}"}) + "\n")
+    assert [r.task_id for r in readers.scan_tasks(spark, str(tmp_path), "block", "test").collect()] == ["block/test-0.jsonl"]
+    assert readers.scan_tasks(spark, str(tmp_path), "block").count() == 2
+    assert [r.task_id for r in readers.scan_tasks(spark, str(tmp_path / "api"), split="test").collect()] == ["api/test.jsonl"]
+    assert readers.scan_tasks(spark, str(tmp_path / "api" / "test.jsonl")).count() == 1
+    with pytest.raises(ValueError, match="no tasks"):
+        readers.scan_tasks(spark, str(tmp_path), "block", "validation")
+
+
+def test_a_tree_gives_the_same_corpus_wherever_it_lies(spark, tmp_path):
+    texts = []
+    for place in ("here", "there/deep"):
+        src = tmp_path / place / "src"
+        (src / "sub").mkdir(parents=True)
+        for i in range(3):
+            (src / "sub" / f"f{i}.py").write_text(source(20 + i))
+        out = str(tmp_path / place / "out")
+        dataset.build_dataset(spark, [str(src)], out, max_files=2)
+        texts.append(sorted(r.text for r in readers.scan_jsonl(spark, out).collect()))
+    assert texts[0] == texts[1] and texts[0]
+
+
+def test_tracker_rows_and_points(spark):
+    scores = spark.createDataFrame([("Base", "a", 1.0), ("Base", "b", 0.0), ("tuned", "a", 1.0)], "model string, task_id string, `pass@1` double")
+    found = reporting.tracker_scalars(evaluate.summarise(scores, "pass@1"), "pass@1", scope="eval/safim").collect()
+    assert sorted(map(tuple, found)) == [("eval/safim/base/pass_at_1", 0.5), ("eval/safim/lora_ft/pass_at_1", 1.0)]
+    assert reporting.results_table(scores).columns == ["table", "model", "task_id", "pass@1"]
+    results = spark.createDataFrame([("m", "b", 5, None, 0.5), ("m", "b", None, "q4", 0.4), ("n", "b", 7, "q4", None)], "model_name string, benchmark string, params int, quantization string, `pass@1` double")
+    assert [tuple(r) for r in reporting.accuracy_cost(results, "pass@1").collect()] == [("m", "b", 5, "none", 0.5)]
+
+
 def test_evaluation(spark, tmp_path):
     records = spark.createDataFrame([(i, i, f"middle {i}", "p", "s") for i in range(45)], "record_id int, position int, middle string, prefix string, suffix string")
     right = evaluate.predict(records, "Base", F.concat(F.lit(" "), "middle"))
@@ -187,3 +256,15 @@ def test_streaming_ingest(spark, tmp_path):
     want = {r.text for r in spans(docs, "k", "t").collect()}
     got = [r.text for r in spark.read.parquet(out).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_streaming_with_bounded_state(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    docs = spark.createDataFrame([(i, source(20 + i % 3)) for i in range(6)], "k long, t string")
+    docs.write.parquet(folder)
+    made = stream_spans(spark, folder, docs.schema, "k", "t", within="1 day")
+    for _ in range(2):
+        ingest(made, out, str(tmp_path / "state")).awaitTermination()
+        docs.write.mode("append").parquet(folder)
+    got = [r.text for r in spark.read.parquet(out).collect()]
+    assert len(got) == len(set(got)) and set(got) == {r.text for r in spans(docs, "k", "t").collect()}
