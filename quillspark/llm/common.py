@@ -1,17 +1,13 @@
 """What the operators of this subpackage share: scratch tables, shared files, input tables."""
 
-import os
-import re
-import tempfile
-import uuid
-
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.session import ship
+from quillspark.shared import open_fs, row_of, scratch_path, shuffle_width
+
+__all__ = ["discard", "materialize", "open_fs", "row_of", "scratch_path", "shuffle_width", "slices", "table"]
 
 #: Texts are handed to Python code in slices of about this many characters, which bounds the Python objects alive at once.
 SLICE_CHARS = 8_000_000
@@ -22,26 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it; a folder of our own only where all run in one process."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver's JVM ends."""
-    path = f"{checkpoint_root(spark)}/quillspark-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage is cut, and a lost executor costs no recomputation."""
     path = scratch_path(df.sparkSession, tag)
@@ -59,20 +35,6 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def row_of(docs: DataFrame, but: tuple[str, ...] = ()) -> Column:
-    """All columns of a row as one struct, so that no name of theirs meets one of ours."""
-    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in but])
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    """A file system and the path in it, for a path with or without scheme."""
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else os.path.abspath(uri))
-
-
 def slices(column: pa.Array, limit: int = SLICE_CHARS):
     """(first row, texts) for runs of rows whose texts together hold about limit bytes; a longer text is a run of its own."""
     if isinstance(column, pa.ChunkedArray):
