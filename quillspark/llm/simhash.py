@@ -184,18 +184,21 @@ def links(prints: DataFrame, distinct: int, near: int = NEAR, file: int = FILE,
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR, figures: dict | None = None) -> DataFrame:
-    """doc_id, text_hash, fp, root (the least fingerprint reachable, as a long) and component_id of every document.
+    """doc_id, text_hash, fp, component_id, first and n of every document.
 
-    component_id is the smallest id of the component (null if it has none). Null and empty texts have fingerprint 0;
-    repeated rows are returned each; other columns are ignored. Exact copies are one fingerprint before any search.
+    component_id is the smallest id of the component (null if it has none), first the document (no_id, doc_id, text_hash)
+    that stands for it and n its rows. Null and empty texts have fingerprint 0; repeated rows are returned each; other
+    columns are ignored. Exact copies are one fingerprint before any search, and what is said of a component is
+    gathered from fingerprints, so that no join brings the documents of a component together.
     """
     own = materialize(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(f"`{text_col}`").alias("text_hash"), fingerprint(F.col(f"`{text_col}`")).alias("fp")), "prints")
-    distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")  # nulls last
+    distinct = materialize(own.groupBy("fp").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
     roots = components(links(distinct, distinct.count(), near, figures=figures)).withColumnRenamed("node", "fp")
-    named = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    whole = materialize(named.join(least, "root").select("fp", "root", "component_id"), "classes")
-    return own.join(whole, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+    named = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    of_root = named.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+    whole = materialize(named.select("fp", "root").join(of_root, "root").select("fp", "first", "n"), "classes")
+    return own.join(whole, "fp").select("doc_id", "text_hash", "fp", F.col("first.doc_id").alias("component_id"), "first", "n")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR) -> DataFrame:
@@ -217,11 +220,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ne
     Of rows that repeat id and text, the one whose columns come first as JSON. The documents that go are the smaller
     side of a join with all rows; an empty table stays empty; columns may have any names.
     """
-    every = materialize(grouped(docs, id_col, text_col, near), "grouped")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))).alias("c")
-    several = every.groupBy("root").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.col("c.doc_id").alias("i"), F.col("c.text_hash").alias("h"))
-    chosen = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h"))
-    marked = every.join(several, "root").groupBy(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).agg(F.bool_or(chosen).alias("stays"), F.count(F.lit(1)).alias("n"))
+    several = grouped(docs, id_col, text_col, near).where("n > 1").select("doc_id", "text_hash", "first")
+    chosen = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    marked = several.groupBy(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).agg(F.bool_or(chosen).alias("stays"), F.count(F.lit(1)).alias("n"))
     marked = materialize(marked.where("NOT stays OR n > 1"), "marked")
     hashed = docs.select(row_of(docs).alias("row"), F.col(f"`{id_col}`").alias("_id"), F.xxhash64(f"`{text_col}`").alias("_hash"))
     same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))
