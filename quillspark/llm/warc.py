@@ -312,3 +312,15 @@ def lookup_oracle(every: int = 20) -> str:
     a AS (SELECT page_id, key, strlen(h)::BIGINT AS payload_bytes, CASE WHEN page_id = max(page_id) OVER (PARTITION BY h) THEN 'response' ELSE 'revisit' END AS record_type,
                  CASE WHEN page_id <> max(page_id) OVER (PARTITION BY h) THEN max(page_id) OVER (PARTITION BY h) END AS refers_to FROM k)
     SELECT page_id, payload_bytes, record_type, refers_to FROM a WHERE key IN (SELECT key FROM k WHERE page_id % {every} = 0)"""
+
+
+def oracle() -> str:
+    """The query in SQL, with base32 of a digest written out: five bits of its hexadecimal digits at a time."""
+    bits = "(('0x' || substr(sha, 5 * (i // 4)::INTEGER + 1, 5))::INTEGER >> (15 - 5 * (i % 4)::INTEGER)) & 31"
+    return f"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS sha FROM pages),
+    m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+    SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+           array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ({bits}) + 1, 1) FOR i IN range(32)], '') AS payload_digest,
+           CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+    FROM m"""

@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 
+import duckdb
 import pytest
 
 from quillspark.llm import warc
@@ -109,7 +110,6 @@ def test_most_rows_with_one_id(spark, tmp_path):
 
 
 def test_lookup_against_sql(spark, tmp_path):
-    import duckdb
 
     rows = [(i, URLS[i % 7] if i % 3 else f"http://a.b/{i % 50}", [None, "", "x", f"y{i}"][i % 4]) for i in range(200)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -131,3 +131,15 @@ def test_damage_is_found():
 def test_empty(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert read_archives(write_archives(pages, str(tmp_path / "w")), pages.schema["page_id"].dataType).collect() == []
+
+
+def test_sql_of_the_query(spark, tmp_path):
+    html = [None, "", "<p>é</p>", "same", "same", "x" * 5000]
+    pages = spark.createDataFrame([(i, URLS[i % len(URLS)], html[i * 7 % 6]) for i in range(40)], "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages"))
+    got = read_archives(write_archives(pages, str(tmp_path / "w")), pages.schema["page_id"].dataType)
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages/*.parquet'")
+        want = db.sql(warc.oracle())
+        assert want.columns == got.columns
+        assert sorted(want.fetchall(), key=key) == sorted(map(tuple, got.collect()), key=key)
