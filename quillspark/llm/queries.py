@@ -92,6 +92,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality": quality.oracle(),
         "op5_sharding": sharding.oracle(),
+        "op7_spotsigs": spotsigs.oracle(),
         "op8_warc": warc.oracle(),
         "op10_url_filter": urlfilter.oracle(),
         "shards_64k": sharding.oracle(64 << 10),

@@ -2,7 +2,8 @@
 
 Each occurrence of an anchor (a common word, or a word of one or two characters) starts a chain of the next content
 words; anchor and chain are a spot signature. A document's fingerprint is the whole set of them, written as text: eight
-characters for each of the sorted 48-bit signatures, so that a likeness can be computed from two fingerprints alone.
+characters for each of the sorted signatures, which are the first 48 bits of an MD5, so that a likeness can be computed
+from two fingerprints alone and any engine can make them.
 Sets are compared by Jaccard likeness, many pairs at a time: pairs are dealt out by length partition, which grow by
 1 / NEAR, so that a pair more than one partition apart cannot be near; of the others, those that share none of the
 smaller set's first signatures are pruned; and the survivors are counted out. Where the value of a pruned pair is asked
@@ -16,12 +17,12 @@ import string
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm.common import shuffle_width, slices
+from quillspark.llm.urlfilter import LOWER, UPPER
 
 #: Common words of English, German, French and Spanish.
 ANCHORS = """
@@ -50,9 +51,10 @@ def spots(text: str, chain: int = CHAIN) -> np.ndarray:
             marks.append((w, len(content)))
         else:
             content.append(w)
-    last, digest = len(content) - chain, xxhash.xxh64_intdigest
-    found = {digest(b" ".join((w, *content[k : k + chain]))) for w, k in marks if k <= last} or {digest(b"whole " + data)}
-    return np.unique(np.fromiter(found, np.uint64, len(found)) >> np.uint64(64 - BITS))
+    last, md5 = len(content) - chain, hashlib.md5
+    chains = {b" ".join((w, *content[k : k + chain])) for w, k in marks if k <= last} or {b"whole " + data}
+    digests = b"".join([md5(c, usedforsecurity=False).digest() for c in chains])
+    return np.unique(np.frombuffer(digests, ">u8")[::2].astype(np.uint64) >> np.uint64(64 - BITS))
 
 
 def fingerprint_of(found: np.ndarray) -> str:
@@ -180,3 +182,32 @@ def chained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), *[pa.array(c, _TYPES[t]) for c, (_, t) in zip(columns, COLUMNS, strict=True)]], schema.names)
 
     return dealt.select("own", "k", "t").mapInArrow(compare, schema)
+
+
+def oracle() -> str:
+    """The query in SQL, with every set written out and no pair pruned."""
+    low = f"regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '[!-/:-@\\[-`{{}}~]', '', 'g')"
+    anchors = ", ".join(f"'{w}'" for w in sorted(set(ANCHORS.split())))
+    following = " AND ".join(f"c{i}.id = m.id AND c{i}.side = m.side AND c{i}.nth = m.nth + {i}" for i in range(1, CHAIN + 1))
+    chained = " || ".join(["m.w", *[f"' ' || c{i}.w" for i in range(1, CHAIN + 1)]])
+    likeness = lambda a, b: f"len(list_intersect({a}, {b})) / (len({a}) + len({b}) - len(list_intersect({a}, {b})))"
+    written = lambda s: f"to_base64(unhex(array_to_string({s}, '')))"
+    return f"""
+    WITH d AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents),
+    n AS (SELECT id, t, coalesce(lead(t) OVER (ORDER BY id DESC), first_value(t) OVER (ORDER BY id DESC)) AS o FROM d),
+    e AS (SELECT id, t, substr(t, 1, length(t) - length(t) // 2) || substr(o, 1, length(t) // 2) AS m FROM n),
+    sides AS (SELECT id, 'own' AS side, t AS s FROM e UNION ALL SELECT id, 'edited', m FROM e),
+    ws AS (SELECT id, side, regexp_extract_all({low}, '[^\\x20\\x09-\\x0D]+') AS ws FROM sides),
+    word AS (SELECT id, side, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM ws),
+    told AS (SELECT *, strlen(w) <= 2 OR w IN ({anchors}) AS mark FROM word),
+    placed AS (SELECT *, sum(CASE WHEN mark THEN 0 ELSE 1 END) OVER (PARTITION BY id, side ORDER BY i) AS nth FROM told),
+    content AS (SELECT id, side, w, nth FROM placed WHERE NOT mark),
+    spot AS (SELECT DISTINCT m.id, m.side, substr(md5({chained}), 1, {BITS // 4}) AS h
+             FROM placed AS m, {", ".join(f"content AS c{i}" for i in range(1, CHAIN + 1))} WHERE m.mark AND {following}),
+    held AS (SELECT id, side, list_sort(list(h)) AS hs FROM spot GROUP BY id, side),
+    f AS (SELECT b.id, b.side, coalesce(hs, [substr(md5('whole ' || s), 1, {BITS // 4})]) AS hs FROM sides AS b LEFT JOIN held USING (id, side)),
+    a AS (SELECT e.id, t, m, x.hs AS own, y.hs AS edited FROM e JOIN f AS x ON x.id = e.id AND x.side = 'own' JOIN f AS y ON y.id = e.id AND y.side = 'edited'),
+    z AS (SELECT *, coalesce(lead(own) OVER (ORDER BY id DESC), first_value(own) OVER (ORDER BY id DESC)) AS next FROM a)
+    SELECT id AS doc_id, length(t)::BIGINT AS n_chars, sha256(m) AS edited_sha256, {written("own")} AS fingerprint, {written("edited")} AS edited_fingerprint,
+           {likeness("own", "edited")} AS near_edited, {likeness("own", "next")} AS near_next, len(own)::BIGINT AS n_spots
+    FROM z"""

@@ -1,11 +1,12 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 
-from quillspark.llm.spotsigs import chained, fingerprint_of, likenesses, partition_of, spots, spots_of
+from quillspark.llm.spotsigs import chained, fingerprint_of, likenesses, oracle, partition_of, spots, spots_of
 
 TEXTS = [None, "", "the", "no anchors here really", "The quick brown fox and the lazy dog of doom runs", "É é", "🎈" * 7, "the word other " * 4000, "a b c d"]
 
@@ -104,3 +105,17 @@ def test_one_document_and_none(spark):
     assert [(x.doc_id, x.near_next) for x in r] == [(5, 1.0)]
     assert r[0].edited_sha256 == hashlib.sha256(b"abcabc").hexdigest()
     assert chained(docs.limit(0)).collect() == []
+
+
+def test_sql_on_odd_texts(spark, tmp_path):
+    rng = random.Random(4)
+    odd = TEXTS + ["a|b c.d (the) [cat] {dog} ^bird `fish` ~", "der Für FÜR für im\x0bauf\x0ceins zwei drei", "\u2028the\xa0one two\u3000three of the four five", "the\r\ncat\tdog", "E\u0301 the cafe\u0301 du coin vert"]
+    rows = [(i * 17 % 211, t) for i, t in enumerate(odd + [" ".join(rng.choice(["the", "of", "cat", "Dog,", "é"]) for _ in range(rng.randint(0, 40))) for _ in range(40)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    got = chained(docs)
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/docs/*.parquet'")
+        want = db.sql(oracle())
+        assert want.columns == got.columns
+        assert sorted(want.fetchall()) == sorted(map(tuple, got.collect()))
