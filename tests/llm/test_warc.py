@@ -110,7 +110,6 @@ def test_most_rows_with_one_id(spark, tmp_path):
 
 
 def test_lookup_against_sql(spark, tmp_path):
-
     rows = [(i, URLS[i % 7] if i % 3 else f"http://a.b/{i % 50}", [None, "", "x", f"y{i}"][i % 4]) for i in range(200)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     directory = write_archives(pages, str(tmp_path / "w"), entries=5)
