@@ -3,7 +3,7 @@
 Predictions are a table (record_id, model, completion); what makes them is a callable for mapInPandas or a column.
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.scoring import edit_similarity, exact_match
 from quillspark.operators.sampling import head
 from quillspark.schemas import PREDICTION
+from quillspark.shared import scratch_path, shuffle_width
 
 
 def predict(records: DataFrame, model: str, completion: Column) -> DataFrame:
@@ -45,15 +46,36 @@ def long_form(summary: DataFrame, *metrics: str) -> DataFrame:
     return summary.unpivot("model", list(metrics), "metric", "value")
 
 
-def running_mean(scores: DataFrame, position: str, every: int, *metrics: str) -> DataFrame:
-    """Mean of all rows so far, for every `every`-th row of a model and its last; position counts a model's rows from 1.
+def running_mean(scores: DataFrame, order: Sequence[str], every: int, *metrics: str) -> DataFrame:
+    """model, position, and the mean of all rows so far of each metric, for every `every`-th row of a model and its last.
 
-    This is a progress report of a capped evaluation: one task holds one model's rows, at most the cap.
+    Rows of a model are in the order of `order`, which should tell them apart, and position counts them from 1. No task
+    holds a model: rows are dealt into blocks by ranges of the order and written to the shared folder, so that a block
+    stays what it is; the sums of a block, a row for each, give what goes before the next. Null scores do not count.
     """
-    so_far = Window.partitionBy("model").orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = F.max(position).over(Window.partitionBy("model"))
-    seen = scores.select("model", position, *[F.avg(m).over(so_far).alias(m) for m in metrics], last.alias("_last"))
-    return seen.where((F.col(position) % every == 0) | (F.col(position) == F.col("_last"))).drop("_last")
+    spark, keys = scores.sparkSession, [f"_o{i}" for i in range(len(order))]
+    values = [f"_v{i}" for i in range(len(metrics))]
+    held = scores.select("model", *[F.col(f"`{c}`").alias(k) for c, k in zip(order, keys, strict=True)], *[F.col(f"`{m}`").cast("double").alias(v) for m, v in zip(metrics, values, strict=True)])
+    dealt = held.repartitionByRange(shuffle_width(spark), "model", *keys).withColumn("_block", F.spark_partition_id())
+    path = scratch_path(spark, "scores")
+    dealt.write.parquet(path)
+    rows = spark.read.schema(dealt.schema).parquet(path)
+
+    sums = [F.struct(F.coalesce(F.sum(v), F.lit(0.0)).alias("sum"), F.count(v).alias("n")).alias(v) for v in values]
+    blocks = rows.groupBy("model", "_block").agg(F.count(F.lit(1)).alias("_n"), *sums)
+    model, before = Window.partitionBy("model"), Window.partitionBy("model").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    offsets = blocks.select(
+        F.col("model").alias("_model"), F.col("_block").alias("_of"), earlier("_n").alias("_rows"), F.sum("_n").over(model).alias("_last"),
+        *[F.struct(earlier(f"{v}.sum").alias("sum"), earlier(f"{v}.n").alias("n")).alias(f"{v}_before") for v in values],
+    )
+    place = Window.partitionBy("model", "_block").orderBy(*keys)
+    so_far = place.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = rows.select("model", "_block", F.row_number().over(place).alias("_nth"), *[F.struct(F.sum(v).over(so_far).alias("sum"), F.count(v).over(so_far).alias("n")).alias(v) for v in values])
+    joined = within.join(offsets, F.col("model").eqNullSafe(F.col("_model")) & (F.col("_block") == F.col("_of")))
+    mean = lambda v: (F.coalesce(F.col(f"{v}.sum"), F.lit(0.0)) + F.col(f"{v}_before.sum")) / F.nullif(F.col(f"{v}.n") + F.col(f"{v}_before.n"), F.lit(0))
+    seen = joined.select("model", (F.col("_rows") + F.col("_nth")).alias("position"), "_last", *[mean(v).alias(m) for v, m in zip(values, metrics, strict=True)])
+    return seen.where((F.col("position") % every == 0) | (F.col("position") == F.col("_last"))).drop("_last")
 
 
 def evaluate(records: DataFrame, predictions: DataFrame, position: str = "position", max_samples: int = 200) -> tuple[DataFrame, DataFrame]:

@@ -68,17 +68,17 @@ LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
 CODES = " || ".join(f"chr({i})" for i in [*range(1, 9), *range(14, 27)])
 TURNS = """t AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS middle FROM conversations),
     r AS (SELECT * FROM t WHERE text IS NOT NULL AND middle IS NOT NULL)"""
-BOTH = f"""{TURNS}, p AS (SELECT 'Base' AS model, {strip_of("text")} AS x, {strip_of("middle")} AS y FROM r
-    UNION ALL SELECT 'LoRA-FT', {strip_of("substr(middle, 1, length(middle) // 2)")}, {strip_of("middle")} FROM r),
-    z AS (SELECT model, (x = y)::INTEGER::DOUBLE AS exact_match,
+BOTH = f"""{TURNS}, p AS (SELECT 'Base' AS model, conv_id, turn, {strip_of("text")} AS x, {strip_of("middle")} AS y FROM r
+    UNION ALL SELECT 'LoRA-FT', conv_id, turn, {strip_of("substr(middle, 1, length(middle) // 2)")}, {strip_of("middle")} FROM r),
+    z AS (SELECT model, conv_id, turn, (x = y)::INTEGER::DOUBLE AS exact_match,
           CASE WHEN length(x) = 0 AND length(y) = 0 THEN 1.0::DOUBLE WHEN length(x) = 0 OR length(y) = 0 THEN 0.0::DOUBLE
                ELSE 1 - levenshtein(translate(x, '{LETTERS}', {CODES}), translate(y, '{LETTERS}', {CODES}))::DOUBLE / greatest(length(x), length(y)) END AS edit_similarity FROM p)"""
 EXACT_MATCH = f"WITH {BOTH} SELECT model, round(avg(exact_match), 6) AS exact_match FROM z GROUP BY model"
 EDIT_SIMILARITY = f"WITH {BOTH} SELECT model, round(avg(exact_match), 6) AS exact_match, round(avg(edit_similarity), 6) AS edit_similarity FROM z GROUP BY model"
 COMPARISON = f"WITH {BOTH} SELECT model, 'exact_match' AS metric, round(avg(exact_match), 6) AS value FROM z GROUP BY model UNION ALL SELECT model, 'edit_similarity', round(avg(edit_similarity), 6) FROM z GROUP BY model"
-RUNNING = f"""WITH {TURNS}, h AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn)::INTEGER AS position FROM r ORDER BY conv_id, turn LIMIT 200),
-    m AS (SELECT position, count(*) OVER () AS n, avg(({strip_of("lower(text)")} = {strip_of("lower(middle)")})::INTEGER) OVER w AS a, avg(length(text)::DOUBLE / 512) OVER w AS b FROM h WINDOW w AS (ORDER BY position))
-    SELECT 'Base' AS model, position, round(a, 6) AS exact_match, round(b, 6) AS edit_similarity FROM m WHERE position % 20 = 0 OR position = n"""
+RUNNING = f"""WITH {BOTH}, m AS (SELECT model, row_number() OVER w AS position, count(*) OVER (PARTITION BY model) AS n, avg(exact_match) OVER w AS a, avg(edit_similarity) OVER w AS b
+        FROM z WINDOW w AS (PARTITION BY model ORDER BY conv_id, turn))
+    SELECT model, position, round(a, 6) AS exact_match, round(b, 6) AS edit_similarity FROM m WHERE position % 20 = 0 OR position = n"""
 PROMPTS = f"""p AS (SELECT doc_id AS task_id, substr(text, 1, 30) AS prefix, substr(text, 31, 30) || CASE WHEN doc_id % 2 = 0 THEN '{MASK}' ELSE '' END || substr(text, 61) AS suffix FROM documents)"""
 MASK_SPLIT = f"WITH {PROMPTS} SELECT * FROM p"
 ASSEMBLY = f"WITH {PROMPTS} SELECT task_id, prefix || 'pass $1 \\ ' || task_id || suffix AS program FROM p"

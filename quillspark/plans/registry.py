@@ -178,11 +178,10 @@ def comparison_long(t, spark):
 
 @query(oracles.RUNNING)
 def running_mean(t, spark):
-    """Every twentieth row of the first 200 records, by conversation and turn."""
-    first = _turns(t).orderBy("conv_id", "turn").limit(200)
-    scored = first.select(F.lit("Base").alias("model"), "conv_id", "turn", scoring.exact_match(F.lower("text"), F.lower("middle")).alias("exact_match"), (F.length("text") / 512).alias("edit_similarity"))
-    placed = scored.withColumn("position", F.row_number().over(Window.partitionBy("model").orderBy("conv_id", "turn")))
-    means = evaluate.running_mean(placed, "position", 20, "exact_match", "edit_similarity")
+    """Every twentieth record of each model, and its last, by conversation and turn."""
+    place = F.split("record_id", "-")
+    scored = _text_scores(t).withColumns({"conv_id": place[0].cast("long"), "turn": place[1].cast("int")})
+    means = evaluate.running_mean(scored, ("conv_id", "turn"), 20, "exact_match", "edit_similarity")
     return means.select("model", "position", F.round("exact_match", 6).alias("exact_match"), F.round("edit_similarity", 6).alias("edit_similarity"))
 
 

@@ -1,6 +1,7 @@
 import datetime
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -182,6 +183,22 @@ def test_tracker_rows_and_points(spark):
     assert [tuple(r) for r in reporting.accuracy_cost(results, "pass@1").collect()] == [("m", "b", 5, "none", 0.5)]
 
 
+def test_running_means_over_many_blocks(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", "b", "b", None]), i * 37 % 1009, i, rng.choice([0.0, 1.0, 0.25, None]), None if i % 2 else 2.0) for i in range(1009)] + [("late", 1, 1, None, None), ("late", 2, 1, 1.0, None)]
+    scores = spark.createDataFrame(rows, "model string, position int, `a.b` int, m double, `x.y` double").repartition(7)
+    want = []
+    for model in ("a", "b", None, "late"):
+        own = sorted((r for r in rows if r[0] == model), key=lambda r: r[1:3])
+        for n in range(1, len(own) + 1):
+            if n % 10 == 0 or n == len(own):
+                known = [[r[c] for r in own[:n] if r[c] is not None] for c in (3, 4)]
+                want.append((model, n, *[pytest.approx(sum(k) / len(k)) if k else None for k in known]))
+    got = sorted(map(tuple, evaluate.running_mean(scores, ["position", "a.b"], 10, "m", "x.y").collect()), key=lambda r: (r[0] is None, r[:2]))
+    assert got == sorted(want, key=lambda r: (r[0] is None, r[:2]))
+    assert evaluate.running_mean(scores.limit(0), ["position"], 10, "m").collect() == []
+
+
 def test_evaluation(spark, tmp_path):
     records = spark.createDataFrame([(i, i, f"middle {i}", "p", "s") for i in range(45)], "record_id int, position int, middle string, prefix string, suffix string")
     right = evaluate.predict(records, "Base", F.concat(F.lit(" "), "middle"))
@@ -195,7 +212,7 @@ def test_evaluation(spark, tmp_path):
     assert lines[0] == "model,exact_match,edit_similarity" and lines[1].startswith("Base,1.0")
     assert evaluate.long_form(summary, "exact_match", "edit_similarity").count() == 4
     means = spark.createDataFrame([("Base", i, float(i % 2)) for i in range(1, 46)], "model string, position int, exact_match double")
-    assert [(r.position, r.exact_match) for r in evaluate.running_mean(means, "position", 20, "exact_match").orderBy("position").collect()] == [(20, 0.5), (40, 0.5), (45, pytest.approx(23 / 45))]
+    assert [(r.position, r.exact_match) for r in evaluate.running_mean(means, ["position"], 20, "exact_match").orderBy("position").collect()] == [(20, 0.5), (40, 0.5), (45, pytest.approx(23 / 45))]
     none = spark.createDataFrame([("Base", float("nan")), ("Base", 1.0), (None, 5.0)], "model string, exact_match double")
     assert [tuple(r) for r in evaluate.summarise(none, "exact_match").collect()] == [("Base", 1.0)]
     assert evaluate.summarise(none.limit(0), "exact_match").collect() == []
